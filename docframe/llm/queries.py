@@ -53,7 +53,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_spark.table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_scan.RULES[: secret_scan.BASE]]
-    count = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    count = [F.size(F.expr(f"filter(spans, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in base]
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     digest = F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(base))).cast("binary"), 256)
     return found.select("doc_id", *count, digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
