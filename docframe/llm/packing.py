@@ -8,26 +8,29 @@ bits of sequence_id name (log2 of the length). One scan, no shuffle.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..shipping import ship
+from . import _text
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pre-tokens whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
-#: Split of a text into pre-tokens, as the vocabulary's byte-level pre-tokenizer makes it (fixed value).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+REMEMBERED = 1_400_000
 #: Characters that every Unicode version splits alike; a text with others goes to the tokenizer whole.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-ʯ]*")
-_SPLIT = regex.compile(PRE_TOKEN)
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7E¡-ʯ]")
+#: Of those: letters, numbers (fixed values). The rest but white space are marks.
+_LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ʯ", "0-9²³¹¼-¾"
+#: The byte-level pre-tokenizer's split, over those characters.
+_SPLIT = re.compile(rf" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t\n\r {_LETTER}{_DIGIT}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 
 
 class CachedTokenizer:
@@ -41,10 +44,10 @@ class CachedTokenizer:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPLIT.findall(x) if _PLAIN.fullmatch(x) else None for x in texts]
+        split = [None if _OTHER.search(x) else _SPLIT.findall(x) for x in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*(x for x in split if x)).difference(self.known))
+        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(filter(None, split)))))
         if new:
             found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
@@ -66,15 +69,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, longest: int, chunk: i
     task = context.partitionId() if context else 0
     sequences = 0
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        lo = 0
-        while lo < len(ids):
-            part, size = [], 0
-            while lo + len(part) < len(ids) and (not part or size < chunk):
-                part.append(texts[lo + len(part)].as_py() or "")
-                size += len(part[-1])
+        ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+        for lo, hi in _text.blocks(np.cumsum([0, *map(len, texts)]), chunk):
             rows: list[tuple] = []
-            for doc, raw in zip(ids[lo : lo + len(part)], tokenizer.encode(part)):
+            for doc, raw in zip(ids[lo:hi], tokenizer.encode(texts[lo:hi])):
                 raw += b"\0\0\0\0"
                 start, total = 0, len(raw) // 4
                 for n in piece_lengths(total, longest):
@@ -82,7 +80,6 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, longest: int, chunk: i
                     rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), total, sequence, 0))
                     sequences += 1
                     start += n
-            lo += len(part)
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
