@@ -11,9 +11,10 @@ How the links are found, none of it with all pairs of a group:
    its smallest doc_id, so exact copies (a third of all rows, say) cost one row from there on;
 2. classes that share a band form a bucket.  In each bucket every member is compared with one centre,
    the member with the most bucket company, by exact Jaccard of the full shingle sets;
-3. components of these links; in buckets that still hold several components, members of *different*
-   components are compared, in blocks of bounded size: a pair whose signatures agree far too little for
-   the threshold is passed over (less than 1e-7 of true links), all others are verified exactly;
+3. components of these links; in buckets that still hold several components, the members outside of the
+   largest one are held against the members of other components, in parts of bounded size: a pair whose
+   signatures agree far too little for the threshold (5.4 standard deviations) is passed over, less than
+   1e-7 of true links. All others are verified on the full sets within their part, and only links leave it;
 4. components of all links.
 
 With 40 bands of 6 coordinates a pair at similarity 0.8 shares no band with probability 6e-6, one at
@@ -37,6 +38,8 @@ from .components import connected_components
 BANDS, ROWS = 40, 6
 #: Members of a bucket or of a centre that one task compares at a time.
 BLOCK = 128
+#: Members of a bucket whose signatures one task holds against each other at a time.
+PART = 256
 _SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
 
 
@@ -113,14 +116,19 @@ def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the named documents, once each."""
+    ids = ids.distinct()
+    return docs.join(_spark.small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (c, a) that are similar enough. A centre with many members is dealt out in blocks, each with a copy of its text."""
     per = pairs.groupBy("c").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("long").alias("n_blk"))
     dealt = pairs.join(per, "c").select("c", F.pmod(F.xxhash64("a"), "n_blk").alias("blk"), "a")
     sides = dealt.select("c", "blk", F.col("a").alias("id"), F.lit(1).alias("role")).unionByName(dealt.select("c", "blk", F.col("c").alias("id"), F.lit(0).alias("role")).distinct())
     sides = _spark.materialize(sides, "sides")
-    ids = sides.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(_spark.small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = _texts(docs, sides.select(F.col("id").alias("doc_id")))
     rows = sides.join(texts.withColumnRenamed("doc_id", "id"), "id").select("c", "blk", "id", "role", "text")
     rows = rows.repartition("c", "blk").sortWithinPartitions("c", "blk", "role")
     links = _spark.materialize(rows.mapInArrow(partial(_linked, words=words, percent=percent), "a long, b long"), "links")
@@ -128,48 +136,122 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return links
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch], bands: int, agree: float) -> Iterator[pa.RecordBatch]:
-    """Rows come by (bucket, i, j). Yields pairs of different components that may be similar, from the first band they share."""
-    held: list[tuple] = []
-    key = None
-
-    def pairs() -> tuple[list[int], list[int]]:
-        left, right = [], []
-        if len(held) > 1:
-            ids = np.array([x[0] for x in held])
-            comp = np.array([x[1] for x in held])
-            size = np.array([x[2] for x in held], np.float64)
-            part = np.array([x[3] for x in held])
-            band = np.array([x[4] for x in held])
-            sketch = np.stack([np.frombuffer(x[5], np.uint8) for x in held])
-            own, i, j = key[1], key[2], key[3]
-            for r in range(len(held)):
-                if part[r] != i:
-                    continue
-                other = (part == j) & (comp != comp[r]) & (ids > ids[r] if i == j else True)
-                other &= np.minimum(size, size[r]) >= 0.79 * np.maximum(size, size[r])
-                at = np.flatnonzero(other)
+_BLOCK = ["bucket", "band", "i", "j"]
+_MEMBER = ["is_left", "rep", "comp", "in_core", "n_shingles", "bands", "sketch"]
+_MEMBERS = "bucket long, band int, i int, j int, is_left boolean, rep long, comp long, in_core boolean, n_shingles long, bands array<long>, sketch binary"
+
+
+class _Part:
+    """Lefts and rights of one part of a bucket, as rows of _MEMBER (and a set, where that is known)."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.rows = key, []
+
+    def pairs(self, agree: float) -> Iterator[tuple[int, np.ndarray]]:
+        """For each left (its place) the rights of other components whose sizes and signatures let them be similar, in the first band they share."""
+        places = np.array([k for k, x in enumerate(self.rows) if not x[0]], np.int64)
+        if not len(places) or len(places) == len(self.rows):
+            return
+        rights = [self.rows[k] for k in places]
+        ids, comp, core = (np.array([x[k] for x in rights]) for k in (1, 2, 3))
+        size = np.array([x[4] for x in rights], np.float64)
+        band = np.array([x[5] for x in rights])
+        sketch = np.stack([np.frombuffer(x[6], np.uint8) for x in rights])
+        for k, (is_left, rep, own, _, n, own_band, own_sketch, *_) in enumerate(self.rows):
+            if is_left:
+                # two members outside of the core meet twice: once as left and right, once the other way
+                at = np.flatnonzero((comp != own) & (core | (ids > rep)) & (np.minimum(size, n) >= 0.79 * np.maximum(size, n)))
                 if len(at):
-                    at = at[(sketch[at] == sketch[r]).mean(axis=1) >= agree]
-                    at = at[(band[at] == band[r]).argmax(axis=1) == own]
-                    left += [int(ids[r])] * len(at)
-                    right += ids[at].tolist()
-        return left, right
+                    at = at[(sketch[at] == np.frombuffer(own_sketch, np.uint8)).mean(axis=1) >= agree]
+                    at = at[(band[at] == np.array(own_band)).argmax(axis=1) == self.key[1]]
+                    if len(at):
+                        yield k, places[at]
 
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(10)]
-        left, right = [], []
-        for bucket, own, i, j, *rest in zip(*columns):
-            if (bucket, own, i, j) != key:
-                a, b = pairs()
-                left += a
-                right += b
-                held, key = [], (bucket, own, i, j)
-            held.append(tuple(rest))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
-    left, right = pairs()
-    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
+
+def _hopeful(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.RecordBatch]:
+    """Of rows that come by part, those that are in some pair of their part that may be similar."""
+    part = None
+
+    def kept(part: _Part | None) -> list[tuple]:
+        use: set[int] = set()
+        for k, at in part.pairs(agree) if part else ():
+            use.add(k)
+            use.update(at.tolist())
+        return [(*part.key, *part.rows[k]) for k in sorted(use)]
+
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    for batch in _and_end(batches):
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None,) * 11]:
+            if part is None or row[:4] != part.key:
+                out += kept(part)
+                part = _Part(row[:4])
+            part.rows.append(row[4:])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], _BLOCK + _MEMBER)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _linked_in_parts(batches: Iterator[pa.RecordBatch], agree: float, words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Verifies the pairs of each part on full sets; pairs whose components a link of the part has joined need no link."""
+    part = None
+
+    def links(part: _Part | None) -> list[tuple[int, int]]:
+        out, root = [], {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for k, at in part.pairs(agree) if part else ():
+            own = part.rows[k]
+            for other in (part.rows[o] for o in at):
+                a, b = find(own[2]), find(other[2])
+                if a != b:
+                    both = np.sort(np.concatenate([own[7], other[7]]))
+                    inter = int((both[1:] == both[:-1]).sum())
+                    if 100 * inter >= percent * (len(both) - inter):
+                        out.append((own[1], other[1]))
+                        root[max(a, b)] = min(a, b)
+        return out
+
+    for batch in _and_end(batches):
+        found: list[tuple[int, int]] = []
+        if batch is None:
+            found = links(part)
+        else:
+            sets = [v[at[r] : at[r + 1]].copy() for lo, hi, v, at in _text.shingle_sets(batch.column(11), words) for r in range(hi - lo)]
+            for row, own in zip(zip(*(batch.column(k).to_pylist() for k in range(11))), sets):
+                if part is None or row[:4] != part.key:
+                    found += links(part)
+                    part = _Part(row[:4])
+                part.rows.append((*row[4:], own))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+
+def _apart(members: DataFrame, near: DataFrame, sig: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, dealt out in parts: lefts outside of a bucket's core, rights."""
+    known = members.join(near, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", "n_shingles", "size", F.coalesce("root", "rep").alias("comp"))
+    # the largest component of a bucket is its core; only members outside of it are held against the others
+    each = known.groupBy("band", "bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("band", "bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("core"), F.sum("n").alias("n_right"), (F.sum("n") - F.max("n")).alias("n_left"))
+    parts = [F.ceil(F.col(c) / F.lit(float(PART))).cast("int").alias(c) for c in ("n_left", "n_right")]
+    mixed = mixed.where("n_left > 0").select("band", "bucket", "core", *parts)
+    every = _spark.materialize(known.join(mixed, ["band", "bucket"]), "mixed")
+    at = {c: F.pmod(F.xxhash64("rep"), c).cast("int") for c in ("n_left", "n_right")}
+    spread = {c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in at}
+    shared = ["bucket", "band", "rep", "comp", "n_shingles", (F.col("comp") == F.col("core")).alias("in_core")]
+    lefts = every.where("comp <> core").select(*shared, F.lit(True).alias("is_left"), at["n_left"].alias("i"), spread["n_right"].alias("j"))
+    rights = every.select(*shared, F.lit(False).alias("is_left"), spread["n_left"].alias("i"), at["n_right"].alias("j"))
+    shapes = sig.select(F.col("doc_id").alias("rep"), "bands", "sketch").where("sketch is not null")
+    ids = every.select("rep").distinct()
+    shapes = shapes.join(_spark.small(ids, ids.count()), "rep", "left_semi").dropDuplicates(["rep"])
+    blocks = lefts.unionByName(rights).join(shapes, "rep")
+    return blocks.select(*_BLOCK, *_MEMBER).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -202,22 +284,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     links = _verified(docs, _spark.materialize(pairs, "pairs"), words, percent)
 
     near = _spark.materialize(connected_components(links), "components")
-    known = members.join(near, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", "n_shingles", "size", F.coalesce("root", "rep").alias("comp"))
-    mixed = known.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    left = known.join(mixed.select("band", "bucket"), ["band", "bucket"], "left_semi")
-    n_part = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
-    left = left.withColumn("n_part", n_part).withColumn("part", F.pmod(F.xxhash64("rep"), "n_part").cast("int"))
-    left = _spark.materialize(left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_part") - 1))), "left")
-    shapes = sig.select(F.col("doc_id").alias("rep"), "bands", "sketch").where("sketch is not null")
-    ids = left.select("rep").distinct()
-    shapes = shapes.join(_spark.small(ids, ids.count()), "rep", "left_semi").dropDuplicates(["rep"])
-    blocks = left.join(shapes, "rep").select("bucket", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "comp", "n_shingles", "part", "bands", "sketch")
-    blocks = blocks.repartition("bucket", "band", "i", "j").sortWithinPartitions("bucket", "band", "i", "j")
-    # five standard deviations of an agreement rate below the one at the threshold
     agree = similarity - 5.4 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
-    cross = blocks.mapInArrow(partial(_cross_pairs, bands=bands, agree=agree), "x long, y long")
-    cross = cross.select(F.least("x", "y").alias("c"), F.greatest("x", "y").alias("a"))
-    links = links.unionByName(_verified(docs, _spark.materialize(cross, "pairs"), words, percent))
+    hopeful = _spark.materialize(_apart(members, near, sig).mapInArrow(partial(_hopeful, agree=agree), _MEMBERS), "hopeful")
+    parts = hopeful.join(_texts(docs, hopeful.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep")
+    parts = parts.select(*_BLOCK, *_MEMBER, "text").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    more = parts.mapInArrow(partial(_linked_in_parts, agree=agree, words=words, percent=percent), "a long, b long")
+    links = links.unionByName(_spark.materialize(more, "links"))
 
     roots = _spark.materialize(connected_components(links), "components")
     merged = classes.select("k1", "k2", "n_shingles", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left")
