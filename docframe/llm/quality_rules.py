@@ -127,4 +127,6 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float | None =
     kept = [c for c in docs.columns if c not in {*results, "base_failed", "kept"}]
     df = df.select(*kept, *(v.alias(k) for k, v in results.items()))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # a filter on kept must not be pushed below: it would copy all of the above into its condition, many times over
+    stays = F.monotonically_increasing_id() >= 0
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & stays)
