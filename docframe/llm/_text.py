@@ -9,11 +9,24 @@ is run again after a lost executor gives the same rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# buffers go back to the system when they are freed: a worker lives on between stages
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def release() -> None:
+    """Hand freed memory back to the system; called when a scan ends."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -161,12 +174,11 @@ def distinct_by_row(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return (np.concatenate(parts) if parts else np.zeros(0, values.dtype)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def shingle_sets(column: pa.Array, n: int, chunk: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, n: int, chunk: int = 512 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of rows: lo, hi, the rows' sorted sets of n-word shingles (64-bit), their bounds."""
     data, offsets = utf8(column)
-    data = ASCII_LOWER[data]
     for lo, hi in blocks(offsets, chunk):
-        own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        own, at = ASCII_LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, bounds = words(own, at)
         grams, bounds = ngram_hashes(span_hashes(own, starts, ends), bounds, n, whole=True)
         yield lo, hi, *distinct_by_row(grams, bounds)

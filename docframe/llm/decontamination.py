@@ -135,7 +135,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int, least: int) ->
             yield _batch(ids[row[pick]], grams[pick], place[pick], tokens[row[pick]], slots(pick))
 
 
-def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marked: np.ndarray, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marked: np.ndarray, chunk: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """The windows of documents whose bit is set in the map. size: tokens of the window."""
     mask = U64((1 << BITS) - 1)
     for batch in batches:
@@ -146,6 +146,7 @@ def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marke
                 pick = good[marked[(grams[good] & mask).astype(np.int64)]]
                 if len(pick):
                     yield _batch(ids[lo + row[pick]], grams[pick], place[pick], np.full(len(pick), n), slots(pick))
+    _text.release()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:

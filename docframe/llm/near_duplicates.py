@@ -93,6 +93,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], words: int, bands: int, r
                 [ids.slice(lo, hi - lo), pa.array(sizes), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.reshape(-1))), pa.array(sketches, pa.binary())],
                 ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
             )
+    _text.release()
 
 
 def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -114,6 +115,7 @@ def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    _text.release()
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from . import _text
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pre-tokens whose ids a worker remembers, by a 64-bit hash; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Classes of characters for the byte-level pre-tokenizer's split: letters, numbers, marks, the space, other white space.
 _LETTER, _DIGIT, _MARK, _SPACE, _WHITE = range(5)
 _CLASS = np.full(256, _MARK, np.int8)
@@ -153,7 +153,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, longest: int, chunk: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, longest: int, chunk: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     tokenizer = CachedTokenizer(path)
     context = TaskContext.get()
     task = context.partitionId() if context else 0
@@ -174,6 +174,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, longest: int, chunk: i
                     start += n
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    tokenizer.known.clear()
+    _text.release()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024) -> DataFrame:
