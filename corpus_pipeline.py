@@ -21,16 +21,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (five-word shingles, similarity 0.8): the one with the smallest doc_id, once."""
+    """One document of each group stays (five-word shingles, similarity 0.8): the one with the smallest doc_id, once.
+
+    Rows that share a doc_id are one document: they go together, and one of them stays. Rows without a doc_id stay.
+    """
     judged = _spark.materialize(near_duplicates.near_duplicates(docs, words=5, similarity=0.8), "judged")
-    kept = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = kept.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(kept, F.col("doc_id") == F.col("_id"))
-    once = joined.where("_rows = 1").select(*docs.columns)
-    repeated = joined.where("_rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
-    out = once.unionByName(repeated) if not kept.where("_rows > 1").isEmpty() else once
-    nameless = docs.where("doc_id is null")
-    return out.unionByName(nameless) if not nameless.select("doc_id").isEmpty() else out
+    dropped = judged.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    out = docs.join(_spark.small(dropped, dropped.count()), F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    n = repeated.count()
+    if n:
+        same = F.col("doc_id") == F.col("_id")
+        again = out.join(_spark.small(repeated, n), same, "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(_spark.small(repeated, n), same, "left_anti").unionByName(again)
+    return out
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
