@@ -323,3 +323,32 @@ def test_ftrl_leaves_unused_weights_at_zero():
         model.learn(np.array([2]), 0)
     w = model.weights()
     assert w[1] > 0 > w[2] and not w[[0, 3, 4, 5, 6, 7]].any()
+
+
+def test_empty_tables(spark):
+    empty = docs(spark, {})
+    ids = spark.createDataFrame([], "doc_id long")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    label = empty.withColumn("label", F.lit(1))
+    frames = {
+        "rules": quality_rules.quality_rules(empty, ids), "leaks": decontamination.contamination(empty, bench), "language": language_id.identify(empty, empty, F.lit(True)),
+        "licences": licenses.scan_licenses(empty), "packing": packing.pack(empty, queries.tokenizer_path()), "secrets": secret_scan.find_secrets(empty), "pii": pii.surrogates(empty, "k"),
+        "perplexity": perplexity.perplexity(empty, ids), "toxicity": toxicity.toxicity(empty, label, F.lit(True)),
+    }
+    assert {k: f.count() for k, f in frames.items()} == dict.fromkeys(frames, 0)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rng = random.Random(11)
+    text = prose(rng, 90) + " token=abcdefghijklmnop joe@example.com"
+    df = docs(spark, {1: text, 2: prose(rng, 70), 3: None})
+    df = df.unionByName(df.where("doc_id = 1")).unionByName(df.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(7, text)], "item_id long, text string")
+    trusted = spark.createDataFrame([(2,), (None,)], "doc_id long")
+    for out in (
+        quality_rules.quality_rules(df, trusted), decontamination.contamination(df, bench), language_id.identify(df, df, F.lit(True)), licenses.scan_licenses(df),
+        secret_scan.find_secrets(df), pii.surrogates(df, "k"), perplexity.perplexity(df, trusted), toxicity.toxicity(df, df.withColumn("label", F.lit(0)), F.lit(True)),
+    ):
+        assert sorted((r.doc_id for r in out.select("doc_id").collect()), key=repr) == sorted([1, 1, 2, 3, None], key=repr)
+    flags = {(r.doc_id, r.contaminated) for r in decontamination.contamination(df, bench).collect()}
+    assert flags == {(1, True), (2, False), (3, False), (None, False)}
