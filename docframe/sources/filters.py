@@ -151,6 +151,6 @@ def decode(data: bytes, names: list[str], parameters: list[dict | None]) -> byte
         elif name in ("LZWDecode", "FlateDecode"):
             data = lzw(data, own.get("EarlyChange", 1)) if name == "LZWDecode" else flate(data)
             data = unpredict(data, own.get("Predictor", 1), own.get("Colors", 1), own.get("BitsPerComponent", 8), own.get("Columns", 1))
-        else:
+        elif name != "Crypt":  # undone with the object's key, before the other filters
             raise FilterError(f"unsupported filter {name}")
     return data

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import security
 from .filters import FilterError, decode
 from .syntax import END, Keyword, Name, Reader, Ref, Stream
 
@@ -27,9 +28,9 @@ DEPTH = 64
 
 
 class Document:
-    """The objects of one file, by number; the newest definition wins. Encrypted files are opened, but not decrypted."""
+    """The objects of one file, by number; the newest definition wins. A file whose password is wrong is ``locked``: its strings and streams stay as they are."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, password: bytes = b"") -> None:
         head = _HEADER.search(data[:1024])
         if not head:
             raise ValueError("no PDF header")
@@ -39,8 +40,21 @@ class Document:
         self.recovered = False
         self._objects: dict[int, object] = {}
         self._containers: dict[int, list] = {}
+        self.security: security.Security | None = None
+        self.locked = False
         if not self._chain():
             self._recover()
+        if "Encrypt" in self.trailer:
+            self._unlock(password)
+
+    def _unlock(self, password: bytes) -> None:
+        reference, ids = self.trailer["Encrypt"], self.deref(self.trailer.get("ID"))
+        entries = self.resolved(reference)
+        first = self.deref(ids[0]) if isinstance(ids, list) and ids else b""
+        opened = security.unlock(entries, first if isinstance(first, bytes) else b"", password) if isinstance(entries, dict) else None
+        self._clear = reference.number if isinstance(reference, Ref) else -1
+        self.security, self.locked = opened, opened is None
+        self._objects, self._containers = {}, {}  # what was read so far was read without the key
 
     # cross references
 
@@ -145,7 +159,10 @@ class Document:
             self._objects[number] = None  # a reference to itself reads as null
             place = self.places.get(number, ())
             if len(place) == 1 and (m := _OBJECT.match(self.data, place[0])) and int(m[1]) == number:
-                self._objects[number] = self._parse(m.end())
+                value = self._parse(m.end())
+                if self.security and number != self._clear:
+                    value = self.security.decrypt(value, number, int(m[2]))
+                self._objects[number] = value
             elif len(place) == 2 and place[0] != number:
                 self._objects[number] = dict(self._container(place[0])).get(number)
         return self._objects[number]
@@ -157,6 +174,13 @@ class Document:
             value = self.object(value.number)
         return None
 
+    def resolved(self, value, depth: int = 0):
+        """A value with the references inside of it resolved too, down to a few levels."""
+        value = self.deref(value)
+        if depth < 6 and isinstance(value, dict):
+            return {k: self.resolved(v, depth + 1) for k, v in value.items()}
+        return [self.resolved(v, depth + 1) for v in value] if depth < 6 and isinstance(value, list) else value
+
     def get(self, entries, *path):
         """The value at a path of names, references resolved; None if a step is missing."""
         value = self.deref(entries)
@@ -239,7 +263,7 @@ def _page_rows(doc: Document) -> Iterator[tuple]:
         box = doc.deref(page.get("MediaBox"))
         box = [float(doc.deref(x)) for x in box] if isinstance(box, list) and len(box) == 4 else [0.0, 0.0, 595.0, 842.0]
         try:
-            content, status = doc.contents(page), None
+            content, status = (b"", "password required") if doc.locked else (doc.contents(page), None)
         except FilterError as e:
             content, status = b"", str(e)
         yield i + 1, number, box, int(doc.deref(page.get("Rotate")) or 0) % 360, content, status
@@ -247,19 +271,21 @@ def _page_rows(doc: Document) -> Iterator[tuple]:
 
 def _document_rows(doc: Document) -> Iterator[tuple]:
     info = doc.info()
-    yield doc.version, "Encrypt" in doc.trailer, doc.recovered, sum(1 for _ in doc.pages()), info["Title"], info["Author"], info["CreationDate"]
+    mask = doc.get(doc.trailer, "Encrypt", "P")
+    mask = int(mask) if isinstance(mask, int | float) else None
+    yield doc.version, "Encrypt" in doc.trailer, doc.locked, mask, bool(doc.security and doc.security.is_owner), doc.recovered, sum(1 for _ in doc.pages()), info["Title"], info["Author"], info["CreationDate"]
 
 
 _KINDS = {
     "objects": (_object_rows, "num int, is_compressed boolean, value string, stream binary"),
     "pages": (_page_rows, "page_no int, num int, media_box array<double>, rotate int, content binary, status string"),
-    "documents": (_document_rows, "pdf_version string, is_encrypted boolean, is_recovered boolean, n_pages int, title string, author string, created string"),
+    "documents": (_document_rows, "pdf_version string, is_encrypted boolean, is_locked boolean, permissions int, is_owner boolean, is_recovered boolean, n_pages int, title string, author string, created string"),
 }
 _ARROW = {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
 
-def read(files: DataFrame, kind: str) -> DataFrame:
-    """Rows of a kind (objects, pages or documents) of files(path, content); a file that is no PDF gives no rows."""
+def read(files: DataFrame, kind: str, password: str = "") -> DataFrame:
+    """Rows of a kind of files(path, content), opened with a password; a file that is no PDF gives no rows."""
     ship(files.sparkSession)
     rows, ddl = _KINDS[kind]
     fields = [x.split(" ") for x in ddl.split(", ")]
@@ -268,7 +294,7 @@ def read(files: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    found = [(path, *r) for r in rows(Document(content.as_py() or b""))]
+                    found = [(path, *r) for r in rows(Document(content.as_py() or b"", password.encode("utf-8")))]
                 except (ValueError, RecursionError):
                     found = []
                 names = ["path", *(n for n, _ in fields)]
@@ -278,9 +304,9 @@ def read(files: DataFrame, kind: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(scan, f"path string, {ddl}")
 
 
-def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def load(spark: SparkSession, path: str, kind: str, password: str = "") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    return read(files, kind)
+    return read(files, kind, password)
 
 
 def references(objects: DataFrame) -> DataFrame:
