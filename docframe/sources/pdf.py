@@ -281,27 +281,31 @@ _KINDS = {
     "pages": (_page_rows, "page_no int, num int, media_box array<double>, rotate int, content binary, status string"),
     "documents": (_document_rows, "pdf_version string, is_encrypted boolean, is_locked boolean, permissions int, is_owner boolean, is_recovered boolean, n_pages int, title string, author string, created string"),
 }
-_ARROW = {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
 
 def read(files: DataFrame, kind: str, password: str = "") -> DataFrame:
     """Rows of a kind of files(path, content), opened with a password; a file that is no PDF gives no rows."""
-    ship(files.sparkSession)
     rows, ddl = _KINDS[kind]
+    return scan(files, rows, ddl, password)
+
+
+def scan(files: DataFrame, rows, ddl: str, password: str = "") -> DataFrame:
+    """One row for each tuple that rows(document) yields, after the file's path."""
+    ship(files.sparkSession)
     fields = [x.split(" ") for x in ddl.split(", ")]
+    names, types = ["path", *(n for n, _ in fields)], [pa.string(), *(_ARROW[t] for _, t in fields)]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     found = [(path, *r) for r in rows(Document(content.as_py() or b"", password.encode("utf-8")))]
                 except (ValueError, RecursionError):
                     found = []
-                names = ["path", *(n for n, _ in fields)]
-                types = [pa.string(), *(_ARROW[t] for _, t in fields)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names)
 
-    return files.select("path", "content").mapInArrow(scan, f"path string, {ddl}")
+    return files.select("path", "content").mapInArrow(run, f"path string, {ddl}")
 
 
 def load(spark: SparkSession, path: str, kind: str, password: str = "") -> DataFrame:
