@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from docframe.plans import catalogue
+from docframe.plans import catalogue, files  # noqa: F401  (files registers its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
