@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import objects
 from ..operators import content
 from ..sources import pack, parts, pdf
 from .catalogue import Read, _query
@@ -86,3 +87,11 @@ def q_pdf_svg(read: Read) -> DataFrame:
     pages = parts.read(pack.pack(rows, pack.drawing_file), "svg")
     n = F.size(F.split("svg", "<path ")) - 1
     return pages.select(F.col("path").cast("long").alias("p_partkey"), "page_no", n.cast("long").alias("n_paths"), F.regexp_extract("svg", 'width="([^"]*)"', 1).alias("width"))
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS k_real, -1 AS missing FROM events")
+def q_path_projection(read: Read) -> DataFrame:
+    """Values at paths of names, coerced to a type, with a default where a step is missing."""
+    props = F.col("props")
+    k = objects.at(props, "k")
+    return read("events").select("event_id", objects.integer(k).alias("k"), objects.either(objects.real(k), 0.0).alias("k_real"), objects.either(objects.integer(objects.at(props, "none", 0, "deeper")), -1).alias("missing"))

@@ -36,7 +36,7 @@ def flate(entries: dict, data: bytes) -> Stream:
     return Stream(entries | {"Filter": Name("FlateDecode")}, zlib.compress(data))
 
 
-def write(objects: dict[int, object], root: int = 1, info: int | None = None, encrypt: str | None = None, user_password: bytes = b"") -> bytes:
+def write(objects: dict[int, object], root: int = 1, info: int | None = None, encrypt: str | None = None, user_password: bytes = b"", permissions: int = -4) -> bytes:
     """A file of numbered objects with one cross-reference table; encrypted by V2, AESV2 or AESV3 if asked for."""
     file_id = hashlib.sha256(b"".join(serialize(v) for v in objects.values())).digest()[:16]
     trailer = {"Root": Ref(root, 0), "ID": [file_id, file_id], "Size": max(objects) + 2}
@@ -44,7 +44,7 @@ def write(objects: dict[int, object], root: int = 1, info: int | None = None, en
         trailer["Info"] = Ref(info, 0)
     if encrypt:
         number = max(objects) + 1
-        objects, entries = security.protect(objects, encrypt, file_id, user_password)
+        objects, entries = security.protect(objects, encrypt, file_id, user_password, permissions=permissions)
         objects, trailer["Encrypt"] = objects | {number: entries}, Ref(number, 0)
     out, at = bytearray(b"%PDF-1.7\n"), {}
     for n, value in sorted(objects.items()):
