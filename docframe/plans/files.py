@@ -11,6 +11,12 @@ from ..sources import pack, parts, pdf
 from .catalogue import Read, _query
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of few files dealt out to all cores, since making and reading files costs more than moving rows; many files stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _joined_pages(files: DataFrame, password: str = "") -> DataFrame:
     """(path, text) of whole files: their pages in order."""
     pages = parts.page_text(files, password)
@@ -19,7 +25,7 @@ def _joined_pages(files: DataFrame, password: str = "") -> DataFrame:
 
 
 def _documents(read: Read) -> DataFrame:
-    return read("documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return _spread(read("documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
 
 
 @_query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
@@ -31,7 +37,7 @@ def q_pdf_text(read: Read) -> DataFrame:
 @_query("SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations")
 def q_pdf_protected(read: Read) -> DataFrame:
     """The same through a file protected by AES, opened with its password."""
-    rows = read("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), "text")
+    rows = _spread(read("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), "text"))
     found = _joined_pages(pack.pack(rows, pack.protected("AESV2", "pass")), "pass")
     at = F.split("path", "/")
     return found.select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "text")
@@ -56,7 +62,7 @@ def q_pdf_inventory(read: Read) -> DataFrame:
     FROM (SELECT p_partkey, p_size AS w, p_size * 2 AS h, (p_size % 5) / 4.0 AS shade FROM part) CROSS JOIN (VALUES (0), (1)) s(seq)""")
 def q_pdf_draw_events(read: Read) -> DataFrame:
     """Painted paths of each file: matrices, saved states, colours and boxes in the drawn page's coordinates."""
-    rows = read("part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_size").alias("w"), (F.col("p_size") * 2).alias("h"), ((F.col("p_size") % 5) / 4.0).alias("shade"))
+    rows = _spread(read("part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_size").alias("w"), (F.col("p_size") * 2).alias("h"), ((F.col("p_size") % 5) / 4.0).alias("shade")))
     events = parts.read(pack.pack(rows, pack.drawing_file), "events").where("kind = 'path'")
     box = [F.col("box")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
     return events.select(F.col("path").cast("long").alias("p_partkey"), "seq", *box, "fill")
@@ -65,7 +71,7 @@ def q_pdf_draw_events(read: Read) -> DataFrame:
 @_query("SELECT page_id, 'a' AS kind, page_id || '.html' AS name, sha256(coalesce(html, '')) AS digest FROM pages UNION ALL SELECT page_id, 'l', coalesce(url, ''), '10,20,110,40' FROM pages")
 def q_pdf_attachments_links(read: Read) -> DataFrame:
     """Attached files by name and digest, links by address and rectangle."""
-    rows = read("pages").select(F.col("page_id").cast("string").alias("path"), "url", "html")
+    rows = _spread(read("pages").select(F.col("page_id").cast("string").alias("path"), "url", "html"))
     files = pack.pack(rows, pack.attachment_file)
     attached = parts.read(files, "attachments").select("path", F.lit("a").alias("kind"), "name", F.sha2("content", 256).alias("digest"))
     linked = parts.read(files, "links").select("path", F.lit("l").alias("kind"), F.col("uri").alias("name"), F.array_join(F.transform("box", lambda v: v.cast("int").cast("string")), ",").alias("digest"))
@@ -75,7 +81,7 @@ def q_pdf_attachments_links(read: Read) -> DataFrame:
 @_query("SELECT c_custkey, c_name AS title, c_mktsegment AS author, '1.7' AS pdf_version, 1 AS n_pages FROM customer")
 def q_pdf_info(read: Read) -> DataFrame:
     """Document information: UTF-16 and Latin text strings, version and page count."""
-    rows = read("customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("author"))
+    rows = _spread(read("customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("author")))
     found = pdf.read(pack.pack(rows, pack.titled_file), "documents")
     return found.select(F.col("path").cast("long").alias("c_custkey"), "title", "author", "pdf_version", "n_pages")
 
@@ -83,7 +89,7 @@ def q_pdf_info(read: Read) -> DataFrame:
 @_query("SELECT p_partkey, 1 AS page_no, CAST(2 AS BIGINT) AS n_paths, '1000' AS width FROM part")
 def q_pdf_svg(read: Read) -> DataFrame:
     """Pages as SVG: number of paths and the width, taken from the XML."""
-    rows = read("part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_size").alias("w"), F.lit(3).alias("h"), F.lit(0.5).alias("shade"))
+    rows = _spread(read("part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_size").alias("w"), F.lit(3).alias("h"), F.lit(0.5).alias("shade")))
     pages = parts.read(pack.pack(rows, pack.drawing_file), "svg")
     n = F.size(F.split("svg", "<path ")) - 1
     return pages.select(F.col("path").cast("long").alias("p_partkey"), "page_no", n.cast("long").alias("n_paths"), F.regexp_extract("svg", 'width="([^"]*)"', 1).alias("width"))
