@@ -107,16 +107,27 @@ def flate(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _undo_tiff(data: bytes, stride: int, colors: int, bits: int, columns: int) -> bytes:
+    """Each sample is a difference to the one of its colour on its left; rows start anew."""
+    rows = np.frombuffer(data, np.uint8).reshape(-1, stride)
+    if bits in (8, 16):
+        samples = rows if bits == 8 else rows.view(">u2")
+        return np.cumsum(samples.reshape(len(rows), columns, colors), axis=1, dtype=f"u{bits // 8}").astype(f">u{bits // 8}").tobytes()
+    if bits not in (1, 2, 4):
+        raise FilterError("TIFF predictor for samples of 1, 2, 4, 8 and 16 bits only")
+    single = np.unpackbits(rows, axis=1)[:, : columns * colors * bits].reshape(len(rows), columns, colors, bits)
+    weights = 1 << np.arange(bits - 1, -1, -1)
+    whole = np.cumsum((single * weights).sum(axis=3), axis=1) % (1 << bits)
+    return np.packbits((whole[..., None] & weights > 0).reshape(len(rows), -1), axis=1).tobytes()
+
+
 def unpredict(data: bytes, predictor: int, colors: int = 1, bits: int = 8, columns: int = 1) -> bytes:
     """Undo a PNG (10 and above) or TIFF (2) predictor."""
     unit, stride = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
     if predictor < 2:
         return data
     if predictor == 2:
-        if bits != 8:
-            raise FilterError("TIFF predictor for 8-bit samples only")
-        rows = np.frombuffer(data[: len(data) // stride * stride], np.uint8).reshape(-1, columns, colors)
-        return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes()
+        return _undo_tiff(data[: len(data) // stride * stride], stride, colors, bits, columns)
     out, above = bytearray(), bytearray(stride)
     for at in range(0, len(data), stride + 1):
         kind, row = data[at], bytearray(data[at + 1 : at + 1 + stride])

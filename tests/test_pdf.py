@@ -1,6 +1,7 @@
 import base64
 import zlib
 
+import numpy as np
 import pytest
 
 from docframe.operators import content
@@ -114,6 +115,19 @@ def test_other_filters():
         filters.decode(b"", ["JPXDecode"], [])
 
 
+@pytest.mark.parametrize("bits, colors", [(1, 1), (2, 3), (4, 1), (4, 3), (8, 3), (16, 2)])
+def test_tiff_predictor(bits, colors):
+    columns, rows, top = 5, 3, 1 << bits
+    whole = np.random.default_rng(bits).integers(0, top, (rows, columns, colors))
+    change = np.diff(whole, axis=1, prepend=0) % top
+
+    def packed(values) -> bytes:
+        lines = ["".join(f"{v:0{bits}b}" for v in row.reshape(-1)) for row in values]
+        return b"".join(int(t.ljust(-(-len(t) // 8) * 8, "0"), 2).to_bytes(-(-len(t) // 8), "big") for t in lines)
+
+    assert filters.unpredict(packed(change), 2, colors, bits, columns) == packed(whole)
+
+
 def test_streaming_reads_files_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -121,3 +135,6 @@ def test_streaming_reads_files_once(spark, tmp_path):
     query = ingest.stream(spark, str(folder), "pages").writeStream.format("memory").queryName("landed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("landed").count() == 2
+    query = ingest.stream(spark, str(folder), "svg").writeStream.format("memory").queryName("drawn").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert spark.table("drawn").where("svg like '<svg%'").count() == 2
