@@ -1,8 +1,10 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Each document is the set of its hashed unigrams, bigrams and skip-bigrams (one or two words left out).
-FTRL-proximal keeps a learning rate for each coordinate and its L1 term sets most weights to exactly 0,
-so what is broadcast is a short list of (bucket, weight); its length is bounded by the bucket count.
+A coordinate is a feature that enough rows of the training sample have, told apart by its whole 64-bit hash:
+what was not seen in training adds nothing, however long the text. FTRL-proximal keeps a learning rate for
+each coordinate and its L1 term sets most weights to exactly 0, so what is broadcast is a short list of
+(hash, weight).
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from . import _spark, _text
 
+#: Bits of the map that is consulted before the list of hashes.
 BITS = 18
 #: Bound of the training sample: rows of each class (by hash of doc_id), none longer than LONGEST characters.
 ROWS_PER_CLASS, LONGEST = 6000, 200_000
@@ -29,34 +32,67 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
 
 
-def features(column: pa.Array, bits: int = BITS, chunk: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of rows: lo, hi, all hashed features, each one's row."""
+def features(column: pa.Array, chunk: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of rows: lo, hi, the 64-bit hashes of all features, each one's row."""
     data, offsets = _text.utf8(column)
     data = _text.ASCII_LOWER[data]
-    shift = np.uint64(64 - bits)
     for lo, hi in _text.blocks(offsets, chunk):
         own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, bounds = _text.spans(_WORD[own], at)
         h = _text.span_hashes(own, starts, ends)
         row = np.repeat(np.arange(lo, hi), np.diff(bounds))
-        found, rows = [h >> shift], [row]
+        found, rows = [h], [row]
         with np.errstate(over="ignore"):
             for gap in SKIPS:
                 if len(h) > gap:
                     same = row[gap:] == row[:-gap]
                     pair = _text.mix64(h[:-gap][same] * np.uint64(0x9E3779B97F4A7C15) + h[gap:][same] + np.uint64(gap))
-                    found.append(pair >> shift)
+                    found.append(pair)
                     rows.append(row[gap:][same])
-        yield lo, hi, np.concatenate(found).astype(np.int64), np.concatenate(rows)
+        yield lo, hi, np.concatenate(found), np.concatenate(rows)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Known:
+    """A sorted list of hashes; places() gives those of the features that are in it."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes, self.shift = hashes, np.uint64(64 - BITS)
+        self.marked = np.zeros(1 << BITS, bool)
+        self.marked[(hashes >> self.shift).astype(np.int64)] = True
+
+    def keys(self, found: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """row << 32 | place in the list, sorted and distinct, of the features that are in it."""
+        live = np.flatnonzero(self.marked[(found >> self.shift).astype(np.int64)])
+        if not len(live):
+            return np.zeros(0, np.int64)
+        found, row = found[live], row[live]
+        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        same = self.hashes[at] == found
+        return np.unique(row[same] << 32 | at[same])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each run of rows, the features and in how many of its rows each is."""
+    for batch in batches:
+        for _, _, found, row in features(batch.column(2)):
+            order = np.argsort(found, kind="stable")  # the rows of one feature stay in order
+            found, row = found[order], row[order]
+            new = np.ones(len(found), bool)
+            new[1:] = found[1:] != found[:-1]
+            once = new.copy()
+            once[1:] |= row[1:] != row[:-1]
+            n = np.add.reduceat(once, np.flatnonzero(new), dtype=np.int64) if len(found) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(n)], ["feature", "n"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    known = _Known(frequent)
     for batch in batches:
         out = []
         for lo, hi, found, row in features(batch.column(2)):
-            keys = np.unique((row - lo) << BITS | found)
-            cuts = np.searchsorted(keys, np.arange(hi - lo + 1) << BITS)
-            own = (keys & (1 << BITS) - 1).astype("<i4")
+            keys = known.keys(found, row - lo)
+            cuts = np.searchsorted(keys, np.arange(hi - lo + 1) << 32)
+            own = (keys & (1 << 32) - 1).astype("<i4")
             out += [own[cuts[i] : cuts[i + 1]].tobytes() for i in range(hi - lo)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["h", "label", "features"])
 
@@ -84,42 +120,41 @@ class FtrlProximal:
 
 
 def train(labelled: DataFrame, rows: int = ROWS_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, weights and bias learned from labelled(doc_id, text, label); rows without text or label don't count."""
+    """Hashes (sorted), weights and bias learned from labelled(doc_id, text, label); rows without text or label don't count."""
     ship(labelled.sparkSession)
     usable = labelled.where("text is not null and label in (0, 1) and doc_id is not null").where(F.length("text") <= LONGEST)
     usable = usable.select(F.xxhash64("doc_id").alias("h"), F.col("label").cast("int").alias("label"), "text")
     order = Window.partitionBy("label").orderBy("h", "text")
     sample = usable.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("h", "label", "text")
-    found = sample.mapInArrow(_sets, "h long, label int, features binary").collect()
+    sample = _spark.materialize(sample, "sample")
+    least = max(3, sample.count() // RARE)
+    seen = sample.mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("feature")
+    frequent = np.sort(seen.toArrow().column(0).to_numpy().view(np.uint64))
+    found = sample.mapInArrow(partial(_sets, frequent=frequent), "h long, label int, features binary").collect()
+    _spark.drop(sample)
     found.sort(key=lambda r: (r["h"], r["label"], r["features"]))
-    model = FtrlProximal(1 << BITS)
+    model = FtrlProximal(len(frequent))
     rng = np.random.default_rng(7)
     sets = [np.frombuffer(r["features"], "<i4") for r in found]
-    frequent = np.bincount(np.concatenate([np.zeros(0, np.int64), *sets]), minlength=1 << BITS) >= max(3, len(found) // RARE)
-    sets = [x[frequent[x]] for x in sets]
     positive = sum(r["label"] for r in found)
     weight = {1: min(10.0, max(1.0, (len(found) - positive) / max(1, positive))), 0: min(10.0, max(1.0, positive / max(1, len(found) - positive)))}
     for _ in range(max(4, min(60, UPDATES // max(1, len(found)))) if 0 < positive < len(found) else 0):
         for i in rng.permutation(len(found)):
             model.learn(sets[i], found[i]["label"], weight[found[i]["label"]])
     if len({r["label"] for r in found}) == 1:
-        return np.zeros(0, np.int64), np.zeros(0), 4.0 if found[0]["label"] else -4.0
+        return np.zeros(0, np.uint64), np.zeros(0), 4.0 if found[0]["label"] else -4.0
     w = model.weights()
     at = np.flatnonzero(w[:-1])
-    return at, w[at], float(w[-1]) if found else -4.0
+    return frequent[at], w[at], float(w[-1]) if found else -4.0
 
 
-def _scored(batches: Iterator[pa.RecordBatch], at: np.ndarray, weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
-    slot = np.zeros(1 << BITS, np.int32)
-    slot[at] = np.arange(1, len(at) + 1)
-    w = np.concatenate([[0.0], weights])
+def _scored(batches: Iterator[pa.RecordBatch], hashes: np.ndarray, weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
+    known = _Known(hashes)
     for batch in batches:
         total = np.full(len(batch), bias)
         for lo, hi, found, row in features(batch.column(1)):
-            own = slot[found]
-            live = np.flatnonzero(own)
-            keys = np.unique((row[live] - lo) << BITS | own[live])
-            total[lo:hi] += np.bincount(keys >> BITS, w[keys & (1 << BITS) - 1], hi - lo)
+            keys = known.keys(found, row - lo)
+            total[lo:hi] += np.bincount(keys >> 32, weights[keys & (1 << 32) - 1], hi - lo)
         score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -133,9 +168,9 @@ def toxicity(docs: DataFrame, labelled: DataFrame, held_out: Column) -> DataFram
     other columns are ignored, an empty table gives none.
     """
     ship(docs.sparkSession)
-    at, weights, bias = train(labelled)
+    hashes, weights, bias = train(labelled)
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    return rows.mapInArrow(partial(_scored, at=at, weights=weights, bias=bias), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(partial(_scored, hashes=hashes, weights=weights, bias=bias), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:

@@ -316,6 +316,21 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(df, df.withColumn("label", F.lit(None).cast("int")), F.lit(True)).select("score").distinct().count() == 1
 
 
+def test_toxicity_of_very_long_texts(spark):
+    rng = random.Random(12)
+    clean = lambda n: prose(rng, n, 3000)
+    texts = {i: clean(60) + (" " + " ".join(rng.sample(["vile", "scum", "rotten"], 2)) if i % 4 == 0 else "") for i in range(400)}
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in texts], "doc_id long, label int")
+    labelled = docs(spark, texts).join(labels, "doc_id")
+    long = {}
+    for k, size in enumerate((200_000, 500_000, 1_000_000, 2_000_000)):
+        long[k] = clean(size // 6)
+        long[10 + k] = " ".join(f"unseen{rng.randrange(10**9)}" for _ in range(size // 16))
+        long[20 + k] = f"{long[k]} vile {long[10 + k]} scum rotten x vile scum"
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity(docs(spark, long), labelled, F.lit(True)).collect()}
+    assert found == {i: int(i >= 20) for i in long}
+
+
 def test_ftrl_leaves_unused_weights_at_zero():
     model = toxicity.FtrlProximal(8, l1=1.0)
     for _ in range(50):
