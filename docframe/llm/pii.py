@@ -28,8 +28,8 @@ TYPES = {
     "name": rf"\b(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}[\p{{Ll}}'’]+(?:[ -]\p{{Lu}}[\p{{Ll}}'’]+){{0,2}}",
 }
 MASTER = "|".join(f"(?:{x})" for x in TYPES.values())
-#: What a text with any entity has: a digit group, an at sign between letters or a title.
-HINT = rf"[0-9]{{2}}|[A-Za-z0-9._%+-]@[A-Za-z0-9]|\b(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}"
+#: What a text with any entity has: a digit group, digits around a dot, an at sign in a word or a title.
+HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|[A-Za-z0-9._%+-]@[A-Za-z0-9-]|\b(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}"
 #: Given names by gender and script, and syllables of surnames by script (fixed values).
 GIVEN = {
     ("m", "latin"): "James John Robert Michael David Thomas Daniel Paul Mark George Peter Lucas Martin Simon Victor Hugo Oscar Leon Felix Adrian".split(),

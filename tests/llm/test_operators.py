@@ -239,6 +239,14 @@ def test_surrogates_stay_distinct_when_draws_collide(spark):
     assert len(rows) == 300 and len({r.surrogate for r in rows}) == 300 and not {r.surrogate for r in rows} & {r.norm for r in rows}
 
 
+def test_every_entity_passes_the_cheap_filter(spark):
+    texts = ["the resolver at 8.8.8.8 or 1.1.1.1 answered", "write to a@-b.org", "and 10.1.1.1 or 8.8.8.8", "DE44 ABCD EFGH IJKL", "4111111111111111", "123-45-6789", "+1 22 33", "Dr Öz", "г-жа Ив"]
+    out = {r.doc_id: r for r in pii.surrogates(docs(spark, texts).drop("n_words"), "key").collect()}
+    assert [out[i].n_entities for i in range(len(texts))] == [2, 1, 2, 1, 1, 1, 1, 1, 1]
+    one = re.findall(r"[0-9.]{7,}", out[0].text)
+    assert one[0] == re.findall(r"[0-9.]{7,}", out[2].text)[1] != "8.8.8.8" and "a@-b.org" not in out[1].text
+
+
 def kneser_ney(texts, order):
     """Plain modified Kneser-Ney over bytes, in dictionaries."""
     grams = Counter()
