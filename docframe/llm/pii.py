@@ -41,7 +41,8 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa so va".split(),
     "cyrillic": "ба бе бо да де до фа фе га го ха хе ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са со ва".split(),
 }
-#: Draws after which a surrogate may grow by a character; attempts end far above what any collision needs.
+#: Draws after which a surrogate may grow by a character or a syllable (given names grow from the third draw on), so
+#: that names, phones and e-mails have room for any number of values.
 GROW, ATTEMPTS = 6, 24
 #: Parts among which the rows of one value are dealt.
 SALTS = 8
@@ -96,14 +97,15 @@ def _surrogate(attempt: int) -> Column:
     out = F.when(F.col("type") == "email", F.expr(email)).when(F.col("type") == "ip", F.expr(ip)).when(F.col("type") == "card", F.expr(card))
     out = out.when(F.col("type") == "ssn", F.expr(ssn)).when(F.col("type") == "phone", F.expr(phone)).when(F.col("type") == "iban", F.expr(iban))
     for script in SYLLABLES:
-        n = 3 if attempt < GROW else 4
+        n = 3 if attempt < GROW else 4 + attempt - GROW
         out = out.when(F.col("type") == f"surname_{script}", F.expr(f"initcap({_syllables(script, d, n, 0)})"))
         for gender in "mfu":
             pool = GIVEN.get((gender, script)) or GIVEN["m", script] + GIVEN["f", script]
             listed = "array(" + ",".join(f"'{x}'" for x in pool) + ")"
             drawn = f"{listed}[{_number(d, '7', len(pool))}]"
-            # a pool is small: later draws add syllables, which keep the name's ending
-            longer = f"initcap(concat({_syllables(script, d, 2, 0)}, lower({drawn})))"
+            # a pool is small: later draws add syllables, one more each time, which keep the name's ending
+            grown = _syllables(script, d, 2, 0) + (f", {_syllables(script, d, attempt - 2, 8)}" if attempt > 2 else "")
+            longer = f"initcap(concat({grown}, lower({drawn})))"
             out = out.when(F.col("type") == f"given_{gender}_{script}", F.expr(drawn if attempt < 2 else longer))
     return out
 

@@ -239,6 +239,13 @@ def test_surrogates_stay_distinct_when_draws_collide(spark):
     assert len(rows) == 300 and len({r.surrogate for r in rows}) == 300 and not {r.surrogate for r in rows} & {r.norm for r in rows}
 
 
+def test_given_names_have_room_for_any_number_of_values(spark):
+    values = spark.range(21_000).select(F.lit("given_f_latin").alias("type"), F.concat(F.lit("N"), "id").alias("norm"))
+    rows = pii.assign(values, "k").collect()
+    assert len(rows) == 21_000 and len({r.surrogate for r in rows}) == 21_000
+    assert all(r.surrogate.lower().endswith(tuple(x.lower() for x in pii.GIVEN["f", "latin"])) for r in rows)
+
+
 def test_every_entity_passes_the_cheap_filter(spark):
     texts = ["the resolver at 8.8.8.8 or 1.1.1.1 answered", "write to a@-b.org", "and 10.1.1.1 or 8.8.8.8", "DE44 ABCD EFGH IJKL", "4111111111111111", "123-45-6789", "+1 22 33", "Dr Öz", "г-жа Ив"]
     out = {r.doc_id: r for r in pii.surrogates(docs(spark, texts).drop("n_words"), "key").collect()}
