@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
 A text becomes a template: numbers, names and units are typed placeholders, the other words are
-lower-cased. Windows of template tokens are joined by hash between documents and benchmark items; a run of
-matched windows on one diagonal (document place less item place) is a leak if it covers enough of the item
+lower-cased. Each text has two templates: a capitalised word that begins a sentence is a word in one and a
+name in the other. Windows of template tokens are joined by hash between documents and benchmark items; a run
+of matched windows on one diagonal (document place less item place) is a leak if it covers enough of the item
 and the placeholders' values agree slot by slot. So an item whose names and numbers were exchanged is
 found, and a text that merely shares its placeholders is not.
 """
@@ -56,15 +57,18 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of each row: their hashes, kinds, values (hashes of what stands there) and the rows' bounds."""
+def templates(data: np.ndarray, offsets: np.ndarray, initial: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of each row: their hashes, kinds, values (hashes of what stands there), whether they count as words, and the rows' bounds.
+
+    initial: a capitalised word that begins a text, sentence or line is a name, which still counts as a word.
+    """
     low = _text.ASCII_LOWER[data].copy()
     if len(low) > 1:  # the Latin-1 capitals
         low[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
     starts, ends, bounds = _text.spans(_TOKEN[data], offsets)
     if not len(starts):
         z = np.zeros(0, np.uint64)
-        return z, np.zeros(0, np.int8), z, bounds
+        return z, np.zeros(0, np.int8), z, np.zeros(0, bool), bounds
     value = _text.span_hashes(low, starts, ends)
     first = np.zeros(len(starts), bool)
     first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
@@ -77,51 +81,55 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     two = np.where(data[starts] >= 0xC0, 2, 1)  # bytes of the first letter
     capital = changed[np.minimum(starts + two, ends)] > changed[starts]
     lower_rest = (changed[ends] == changed[np.minimum(starts + two, ends)]) & (ends - starts > two)
-    name = inner & capital & lower_rest & ~number
+    name = (inner | initial) & capital & lower_rest & ~number
     after_number = np.concatenate([[False], number[:-1]]) & ~first
     unit = after_number & _member(value, _UNIT_HASHES)
     kind = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], _LITERAL).astype(np.int8)
     # neighbouring numbers (3.14) and names (given and family name) are one placeholder
-    again = np.concatenate([[False], (kind[1:] == kind[:-1]) & ((kind[1:] == _NUMBER) | (kind[1:] == _NAME))]) & ~first
+    again = np.concatenate([[False], (kind[1:] == kind[:-1]) & ((kind[1:] == _NUMBER) | (kind[1:] == _NAME) & inner[1:])]) & ~first
     keep = np.flatnonzero(~again)
     with np.errstate(over="ignore"):
         order = np.arange(len(kind)) - keep[np.cumsum(~again) - 1]
         value = np.add.reduceat(value * (U64(2) * order.astype(np.uint64) + U64(1)), keep)
+    word = ((kind == _LITERAL) | (kind == _NAME) & ~inner)[keep]
     kind = kind[keep]
-    return np.where(kind == _LITERAL, value, _PLACE[kind]), kind, value, np.searchsorted(keep, bounds)
+    return np.where(kind == _LITERAL, value, _PLACE[kind]), kind, value, word, np.searchsorted(keep, bounds)
 
 
 U64 = np.uint64
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int]) -> Iterator[tuple]:
-    """For each window size: hashes, rows, places and, as a function of chosen windows, their slots (kind, value)."""
-    token, kind, value, bounds = templates(data, offsets)
-    literal = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
+def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int], initial: bool) -> Iterator[tuple]:
+    """For each window size: hashes, rows, places, widths and, as a function of chosen windows, their slots (kind, value)."""
+    token, kind, value, word, bounds = templates(data, offsets, initial)
+    literal, counted = (np.concatenate([[0], np.cumsum(x)]) for x in (kind == _LITERAL, word))
     for n in sizes:
         grams, at = _text.ngram_hashes(token, bounds, n)
         count = np.diff(at)
         row = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(grams)) - at[:-1][row]
-        begin = bounds[:-1][row] + place
-        good = 8 * (literal[begin + n] - literal[begin]) >= 5 * n
-
-        def slots(pick: np.ndarray, begin=begin, n=n) -> list[list[dict]]:
+        begin = bounds[:-1][row] + np.arange(len(grams)) - at[:-1][row]
+        end = begin + n
+        good = (8 * (counted[end] - counted[begin]) >= 5 * n) & (2 * (literal[end] - literal[begin]) >= n)
+        grams, row, begin, end = grams[good], row[good], begin[good], end[good]
+        if initial:
+            grams = _text.mix64(grams)
+
+        def slots(pick: np.ndarray, begin=begin, end=end) -> list[list[dict]]:
             out = []
-            for b in begin[pick]:
-                at = b + np.flatnonzero(kind[b : b + n])
+            for b, e in zip(begin[pick], end[pick]):
+                at = b + np.flatnonzero(kind[b:e])
                 out.append([{"k": int(kind[i]), "v": int(value[i].view(np.int64))} for i in at])
             return out
 
-        yield n, grams, row, place, np.flatnonzero(good), slots
+        yield n, grams, row, begin - bounds[:-1][row], end - begin, slots
 
 
 _SLOTS = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())]))
-_HITS = "id long, h long, place long, size long, slots array<struct<k: int, v: long>>"
+_HITS = "id long, h long, place long, size long, initial boolean, slots array<struct<k: int, v: long>>"
 
 
-def _batch(ids: np.ndarray, h: np.ndarray, place: np.ndarray, size: np.ndarray, slots: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.view(np.int64)), pa.array(place), pa.array(size), pa.array(slots, _SLOTS)], ["id", "h", "place", "size", "slots"])
+def _batch(ids: np.ndarray, h: np.ndarray, place: np.ndarray, size: np.ndarray, initial: bool, slots: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.view(np.int64)), pa.array(place), pa.array(size), pa.array([initial] * len(h), pa.bool_()), pa.array(slots, _SLOTS)], ["id", "h", "place", "size", "initial", "slots"])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -129,10 +137,11 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int, least: int) ->
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = _text.utf8(batch.column(1))
-        tokens = np.diff(templates(data, offsets)[3])
-        for n, grams, row, place, good, slots in _windows(data, offsets, list(range(least, window + 1))):
-            pick = good[(tokens[row[good]] == n) | (n == window)]
-            yield _batch(ids[row[pick]], grams[pick], place[pick], tokens[row[pick]], slots(pick))
+        for initial in (False, True):
+            tokens = np.diff(templates(data, offsets, initial)[4])
+            for n, grams, row, place, _, slots in _windows(data, offsets, list(range(least, window + 1)), initial):
+                pick = np.flatnonzero((tokens[row] == n) | (n == window))
+                yield _batch(ids[row[pick]], grams[pick], place[pick], tokens[row[pick]], initial, slots(pick))
 
 
 def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marked: np.ndarray, chunk: int = 512 << 10) -> Iterator[pa.RecordBatch]:
@@ -142,10 +151,11 @@ def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marke
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = _text.utf8(batch.column(1))
         for lo, hi in _text.blocks(offsets, chunk):
-            for n, grams, row, place, good, slots in _windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], sizes):
-                pick = good[marked[(grams[good] & mask).astype(np.int64)]]
-                if len(pick):
-                    yield _batch(ids[lo + row[pick]], grams[pick], place[pick], np.full(len(pick), n), slots(pick))
+            for initial in (False, True):
+                for _, grams, row, place, width, slots in _windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], sizes, initial):
+                    pick = np.flatnonzero(marked[(grams & mask).astype(np.int64)])
+                    if len(pick):
+                        yield _batch(ids[lo + row[pick]], grams[pick], place[pick], width[pick], initial, slots(pick))
     _text.release()
 
 
@@ -171,14 +181,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     sizes = sorted({min(int(r["size"]), window) for r in items.select(F.least("size", F.lit(window)).alias("size")).distinct().collect()})
     base = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     hits = base.mapInArrow(partial(_document_windows, sizes=sizes, marked=marked), _HITS)
-    hits = hits.select(F.col("id").alias("doc_id"), "h", F.col("place").alias("doc_place"), F.col("size").alias("n"), F.col("slots").alias("there"))
+    hits = hits.select(F.col("id").alias("doc_id"), "h", F.col("place").alias("doc_place"), F.col("size").alias("n"), "initial", F.col("slots").alias("there"))
     hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long")))
-    items = items.select(F.col("id").alias("item_id"), "h", "place", "size", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    met = hits.join(items, ["h", "salt"]).where(F.size("slots") == F.size("there"))
+    items = items.select(F.col("id").alias("item_id"), "h", "place", "size", "initial", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    met = hits.join(items, ["h", "initial", "salt"]).where(F.size("slots") == F.size("there"))
     pair = F.transform(F.arrays_zip("slots", "there"), lambda x: F.struct(x["slots"]["k"].alias("k"), x["slots"]["v"].alias("a"), x["there"]["v"].alias("b")))
-    met = met.groupBy("doc_id", "item_id", (F.col("doc_place") - F.col("place")).alias("shift"))
+    met = met.groupBy("doc_id", "item_id", "initial", (F.col("doc_place") - F.col("place")).alias("shift"))
     met = met.agg(F.max("size").alias("size"), F.array_sort(F.collect_set(F.struct("place", "n"))).alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
-    covered = F.expr("aggregate(at, struct(0L as n, -1L as last), (a, x) -> struct(a.n + least(x.n, x.place + x.n - greatest(a.last, x.place)) as n, x.place + x.n as last), a -> a.n)")
+    covered = F.expr("aggregate(at, struct(0L as n, -1L as last), (a, x) -> struct(a.n + greatest(0L, x.place + x.n - greatest(a.last, x.place)) as n, greatest(a.last, x.place + x.n) as last), a -> a.n)")
     strict, numbers = F.filter("pairs", lambda x: x["k"] != _NUMBER), F.filter("pairs", lambda x: x["k"] == _NUMBER)
     values = lambda x: F.size(F.array_distinct(F.transform(x, lambda y: F.struct(y["k"], y["a"]))))
     single = (F.size(strict) == values(strict)) & (F.size(numbers) <= 2 * values(numbers))

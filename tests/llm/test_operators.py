@@ -120,6 +120,19 @@ def test_contamination_exact_and_reparameterised(spark):
     assert found == {0: (True, [1], 0), 1: (True, [1], 1), 2: none, 3: none, 4: none, 5: (True, [2], 0), 6: none}
 
 
+def test_contamination_by_names_that_begin_sentences(spark):
+    items = {
+        1: "Tom has 5 red apples. Ann has 3 green pears. How many pieces of fruit do they have?",
+        2: "Tom has 3 red balls and 5 blue balls in all",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    other = {10 + i: t.replace("Tom", "Bob").replace("Ann", "Eve") for i, t in items.items()}
+    texts = {i: f"w1 w2.\n{t}\nw3 w4" for i, t in (items | other).items()}
+    texts[20] = "w1 w2. Tom had 5 cups. Ann saw 3 ships. How many people of rank do they know?"
+    found = {r.doc_id: (list(r.item_ids), r.n_reparameterised) for r in decontamination.contamination(docs(spark, texts), bench).collect()}
+    assert found == {1: ([1], 0), 2: ([2], 0), 11: ([1], 1), 12: ([2], 1), 20: ([], 0)}
+
+
 def test_gru_gradients_match_differences():
     rng = np.random.default_rng(0)
     model = language_id.ByteGru(["a", "b", "c"], hidden=3)
