@@ -5,7 +5,8 @@ lower-cased. Each text has two templates: a capitalised word that begins a sente
 name in the other. Windows of template tokens are joined by hash between documents and benchmark items; a run
 of matched windows on one diagonal (document place less item place) is a leak if it covers enough of the item
 and the placeholders' values agree slot by slot. So an item whose names and numbers were exchanged is
-found, and a text that merely shares its placeholders is not.
+found, and a text that merely shares its placeholders is not. A window of few words is looked for with its
+values, and widened until it holds enough words.
 """
 
 from __future__ import annotations
@@ -99,8 +100,20 @@ def templates(data: np.ndarray, offsets: np.ndarray, initial: bool = False) -> t
 U64 = np.uint64
 
 
+def _runs(tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the token runs lo..hi: a polynomial, then a finaliser."""
+    up, down = _text._POWERS.get(len(tokens) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(tokens) + 1, U64)
+        np.cumsum(tokens * up[:-1], out=total[1:])
+        return _text.mix64((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(U64) + U64(seed))
+
+
 def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int], initial: bool) -> Iterator[tuple]:
-    """For each window size: hashes, rows, places, widths and, as a function of chosen windows, their slots (kind, value)."""
+    """For each window size: hashes, rows, places, widths and, as a function of chosen windows, their slots (kind, value).
+
+    A window with fewer than 5 words in 8 tokens is hashed with its values, and once more in the least width that has them.
+    """
     token, kind, value, word, bounds = templates(data, offsets, initial)
     literal, counted = (np.concatenate([[0], np.cumsum(x)]) for x in (kind == _LITERAL, word))
     for n in sizes:
@@ -110,7 +123,16 @@ def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int], initial: b
         begin = bounds[:-1][row] + np.arange(len(grams)) - at[:-1][row]
         end = begin + n
         good = (8 * (counted[end] - counted[begin]) >= 5 * n) & (2 * (literal[end] - literal[begin]) >= n)
-        grams, row, begin, end = grams[good], row[good], begin[good], end[good]
+        few = np.flatnonzero(~good)
+        if len(few):
+            exact = _runs(value + kind.astype(U64), begin[few], end[few], n)
+            # the first end by which enough words stand; a row that ends before has no wider window
+            far = np.searchsorted(literal, literal[begin[few]] - (-5 * n // 8))
+            wider = np.flatnonzero((far <= bounds[row[few] + 1]) & (far > end[few]))
+            wide = _runs(token, begin[few[wider]], far[wider], 1 << 32)
+            pick = np.concatenate([np.flatnonzero(good), few, few[wider]])
+            grams = np.concatenate([grams[good], exact, wide])
+            row, begin, end = row[pick], begin[pick], np.concatenate([end[good], end[few], far[wider]])
         if initial:
             grams = _text.mix64(grams)
 

@@ -133,6 +133,15 @@ def test_contamination_by_names_that_begin_sentences(spark):
     assert found == {1: ([1], 0), 2: ([2], 0), 11: ([1], 1), 12: ([2], 1), 20: ([], 0)}
 
 
+def test_contamination_by_items_of_few_words(spark):
+    items = {1: "Convert 5 km to m, 7 kg to g and 3 h to min.", 2: "3 kg, 5 kg, 8 kg, 12 kg", 3: "add 3 kg and 5 kg flour"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    texts = {i: f"w1 w2.\n{t}\nw3 w4" for i, t in items.items()}
+    texts |= {11: "w1.\nConvert 6 km to m, 9 kg to g and 2 h to min.\nw2", 12: "w1.\n4 kg, 6 kg, 9 kg, 13 kg\nw2"}
+    found = {r.doc_id: (list(r.item_ids), r.n_reparameterised) for r in decontamination.contamination(docs(spark, texts), bench).collect()}
+    assert found == {1: ([1], 0), 2: ([2], 0), 3: ([3], 0), 11: ([1], 1), 12: ([], 0)}
+
+
 def test_gru_gradients_match_differences():
     rng = np.random.default_rng(0)
     model = language_id.ByteGru(["a", "b", "c"], hidden=3)
