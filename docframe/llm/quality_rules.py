@@ -23,7 +23,8 @@ QUANTILE, SLACK = 0.001, 0.5
 FALLBACK = -0.25
 SMOOTHING = 1.0
 
-_WHITE = "' \\t\\n\\u000b\\f\\r'"
+#: Fixed value: the characters that part words, as they are (a SQL literal would read an escaped form feed as the letter f).
+_WHITE = " \t\n\x0b\x0c\r"
 _PREFIX = "_dfq_"
 
 
@@ -38,7 +39,7 @@ def _put(df: DataFrame, **columns: Column | str) -> DataFrame:
 def _words(docs: DataFrame) -> DataFrame:
     """Words of each text and a 64-bit hash of each."""
     df = _put(docs, text=F.coalesce(F.col("text"), F.lit("")))
-    df = _put(df, trimmed=f"trim(BOTH {_WHITE} FROM {_PREFIX}text)")
+    df = _put(df, trimmed=F.btrim(_c("text"), F.lit(_WHITE)))
     df = _put(df, words=F.when(_c("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split(_c("trimmed"), "[\\x20\\x09-\\x0D]+")))
     return _put(df, hashes=F.transform(_c("words"), lambda x: F.xxhash64(x)))
 
