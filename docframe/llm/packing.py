@@ -8,6 +8,7 @@ bits of sequence_id name (log2 of the length). One scan, no shuffle.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -99,7 +100,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: strings that are tokens of their own wherever they stand: a text that holds one is not split here
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[int, bytes] = {}
 
     def _whole(self, text: bytes) -> bytes:
@@ -123,10 +125,10 @@ class CachedTokenizer:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids of each text of a buffer."""
         n = len(offsets) - 1
-        raw, whole = data.tobytes(), set()
-        at = _foreign(data)
-        if len(at):
-            whole = set((np.searchsorted(offsets, at, "right") - 1).tolist())
+        raw = data.tobytes()
+        at = np.concatenate([_foreign(data), np.array([m.start() for x in self.added for m in re.finditer(re.escape(x), raw)], np.int64)])
+        whole = set((np.searchsorted(offsets, at, "right") - 1).tolist())
+        if whole:
             keep = [r for r in range(n) if r not in whole]
             data = np.concatenate([np.zeros(0, np.uint8), *(data[offsets[r] : offsets[r + 1]] for r in keep)])
             plain, bounds = data.tobytes(), np.concatenate([[0], np.cumsum([offsets[r + 1] - offsets[r] for r in keep])]).astype(np.int64)

@@ -188,10 +188,9 @@ def test_packing_round_trip(spark):
 
     path = queries.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(7)
     signs = "abcXYZ   \t\n\r''’sdtl.,!?01²½éßÀʯ×÷中😀re'll"
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(200)] + [None, "", "it's <|endoftext|>", prose(rng, 3000)]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(200)] + [None, "", "it's <|endoftext|>", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "|>x", "<|endoftext|><|endoftext|>", prose(rng, 3000)]
     rows = packing.pack(docs(spark, texts), path).collect()
     by = {}
     for r in rows:
