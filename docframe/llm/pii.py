@@ -3,13 +3,16 @@
 E-mail and IP addresses, phone, card, account and social security numbers and titled personal names are
 found by one expression. A distinct value gets one surrogate over the whole corpus (coreference) and no two
 values share one (distinctness): candidates come from a keyed SHA-256, those that collide with another
-value's surrogate or with a real value are drawn again. A surrogate keeps the type, the format (digits for
-digits, letters for letters, separators, case), a card's check digit, a name's script and the gender of a
-given name. The key never appears in the output.
+value's surrogate or with a real value are drawn again (given and family names share one space). A surrogate
+keeps the type, the format (digits for digits, letters for letters, separators, case), a card's check digit,
+a name's script and the gender of a given name: the one that most of its titles in the corpus tell, so that
+one name has one surrogate whatever title it bears. The key (of an HMAC) never appears in the output.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +20,23 @@ from . import _spark
 
 #: Expressions of the entity types, in order of precedence where they begin at one place.
 TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|Don|Signor|г-н|господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|Signora|г-жа|госпожа", "u": "Dr|Prof"}
+#: Where no letter, digit or low line stands before or after; a word boundary would not know Cyrillic letters in all Java versions.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TYPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
+    "iban": rf"{_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{3,7}}(?: ?[0-9A-Z]{{1,3}})?{_AFTER}",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "name": rf"\b(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}[\p{{Ll}}'’]+(?:[ -]\p{{Lu}}[\p{{Ll}}'’]+){{0,2}}",
+    "name": rf"{_BEFORE}(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}[\p{{Ll}}'’]+(?:[ -]\p{{Lu}}[\p{{Ll}}'’]+){{0,2}}",
 }
 MASTER = "|".join(f"(?:{x})" for x in TYPES.values())
 #: What a text with any entity has: a digit group, digits around a dot, an at sign in a word or a title.
-HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|[A-Za-z0-9._%+-]@[A-Za-z0-9-]|\b(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}"
+HINT = rf"[0-9]{{2}}|[0-9]\.[0-9]|[A-Za-z0-9._%+-]@[A-Za-z0-9-]|{_BEFORE}(?:{'|'.join(TITLES.values())})\.? \p{{Lu}}"
+#: The calling codes of one and two digits; all others have three.
+CALLING_CODE = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Given names by gender and script, and syllables of surnames by script (fixed values).
 GIVEN = {
     ("m", "latin"): "James John Robert Michael David Thomas Daniel Paul Mark George Peter Lucas Martin Simon Victor Hugo Oscar Leon Felix Adrian".split(),
@@ -44,13 +51,18 @@ SYLLABLES = {
 #: Draws after which a surrogate may grow by a character or a syllable (given names grow from the third draw on), so
 #: that names, phones and e-mails have room for any number of values.
 GROW, ATTEMPTS = 6, 24
-#: Parts among which the rows of one value are dealt.
-SALTS = 8
+#: A value with at least so many occurrences, and at least one in so many of all, is hot: its surrogate is broadcast.
+HOT, SHARE = 10_000, 10_000
 _P = "_dfp_"
 
 
-def _digest(key: str, attempt: Column | int, *parts: str) -> Column:
-    return F.sha2(F.concat_ws("\u0001", F.lit(key), *(F.col(p) for p in parts), F.lit(attempt).cast("string")), 512)
+def _digest(key: str, attempt: int, *parts: str) -> Column:
+    """HMAC-SHA-512 of the parts, in hex."""
+    block = hashlib.sha512(key.encode()).digest() if len(key.encode()) > 128 else key.encode()
+    block = block.ljust(128, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    message = F.concat_ws("\u0001", *(F.col(p) for p in parts), F.lit(str(attempt))).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 512))), 512)
 
 
 def _number(digest: str, at: str, modulus: int) -> str:
@@ -79,7 +91,7 @@ def _syllables(script: str, digest: str, n: int, from_: int) -> str:
 
 
 def _surrogate(attempt: int) -> Column:
-    """The candidate for columns (type, norm, digest): see assign(). norm is in the form that normalised() gives."""
+    """The candidate for columns (type, norm, gender, digest): see assign(). norm is in the form that _normal() gives."""
     d, extra = "digest", max(0, attempt - GROW)
     more = f"repeat(cast({_number(d, '31', 10)} as string), {extra})"
     domain = f"concat({_masked('regexp_extract(norm, ' + repr('@([^.]+)') + ', 1)', 'reverse(digest)')}, '.example.', array('com', 'net', 'org')[{_number(d, '30', 3)}])"
@@ -88,10 +100,9 @@ def _surrogate(attempt: int) -> Column:
     body = f"concat(substring(norm, 1, 1), substring({_masked('norm', d)}, 2, length(norm) - 2))"
     check = f"cast((10 - ({_luhn('concat(' + body + ', ' + repr('0') + ')')})) % 10 as string)"
     card = f"concat({body}, case when ({_luhn('norm')}) = 0 then {check} else cast({_number(d, '29', 10)} as string) end)"
-    ssn = f"concat('9', substring({_masked('norm', d)}, 2))"
+    ssn = f"concat('9', substring({_masked('norm', d)}, 2))" if attempt < GROW else f"concat({_masked('norm', d)}, {more})"
     # country code, then a first digit of 2 to 9
-    country = "regexp_extract(norm, '^(\\\\+[0-9]{1,3})_', 1)"
-    local = "regexp_replace(norm, '^(\\\\+[0-9]{1,3})?_', '')"
+    country, local = "substring_index(norm, '_', 1)", "substring_index(norm, '_', -1)"
     phone = f"concat({country}, '_', cast(2 + {_number(d, '28', 8)} as string), substring({_masked(local, d)}, 2), {more})"
     iban = f"concat(substring(norm, 1, 2), substring({_masked('norm', d)}, 3))"
     out = F.when(F.col("type") == "email", F.expr(email)).when(F.col("type") == "ip", F.expr(ip)).when(F.col("type") == "card", F.expr(card))
@@ -106,22 +117,26 @@ def _surrogate(attempt: int) -> Column:
             # a pool is small: later draws add syllables, one more each time, which keep the name's ending
             grown = _syllables(script, d, 2, 0) + (f", {_syllables(script, d, attempt - 2, 8)}" if attempt > 2 else "")
             longer = f"initcap(concat({grown}, lower({drawn})))"
-            out = out.when(F.col("type") == f"given_{gender}_{script}", F.expr(drawn if attempt < 2 else longer))
+            out = out.when((F.col("type") == f"given_{script}") & (F.col("gender") == gender), F.expr(drawn if attempt < 2 else longer))
     return out
 
 
 def assign(values: DataFrame, key: str) -> DataFrame:
-    """(type, norm, surrogate) for distinct values(type, norm): one each, no two alike within a type, none a real value."""
-    values = _spark.materialize(values.select("type", "norm").distinct(), "values")
+    """(type, norm, surrogate) for distinct values(type, norm, gender): one each, no two alike within a space, none a real value of it.
+
+    All names share a space, each other type has its own. gender (m, f, u) is that of given names.
+    """
+    space = F.when(F.col("type").rlike("^(given|surname)_"), "name").otherwise(F.col("type"))
+    values = _spark.materialize(values.select("type", "norm", "gender", space.alias("space")), "values")
     todo, done = values, []
     for attempt in range(ATTEMPTS):
         drawn = todo.withColumn("digest", _digest(key, attempt, "type", "norm")).withColumn("surrogate", _surrogate(attempt))
-        real = values.select("type", F.col("norm").alias("surrogate"))
-        drawn = drawn.join(real, ["type", "surrogate"], "left_anti")
+        real = values.select("space", F.col("norm").alias("surrogate"))
+        drawn = drawn.join(real, ["space", "surrogate"], "left_anti")
         for earlier in done:
-            drawn = drawn.join(earlier.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
-        won = drawn.groupBy("type", "surrogate").agg(F.min("norm").alias("norm"))
-        done.append(_spark.materialize(won.select("type", "norm", "surrogate"), "surrogates"))
+            drawn = drawn.join(earlier.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
+        won = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("type", "norm")).alias("won"))
+        done.append(_spark.materialize(won.select("won.type", "won.norm", "space", "surrogate"), "surrogates"))
         todo = _spark.materialize(todo.join(done[-1], ["type", "norm"], "left_anti"), "values")
         if todo.isEmpty():
             break
@@ -130,26 +145,29 @@ def assign(values: DataFrame, key: str) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.select("type", "norm", "surrogate")
 
 
 def _normal(kind: str, value: str) -> Column:
-    """The value without its format: what two spellings of one entity share."""
+    """The value without its format: what two spellings of one entity share. A phone is its calling code, a low line and the
+    rest of its digits; the formats without a calling code are those of +1."""
     v = F.col(value)
     digits = F.regexp_replace(v, "[^0-9]", "")
-    country = F.regexp_extract(v, "^(\\+[0-9]{1,3})[^0-9]", 1)
+    code = F.when(v.startswith("+"), F.regexp_extract(digits, f"^({CALLING_CODE})", 1)).otherwise(F.lit("1"))
+    rest = F.when(v.startswith("+"), F.substring(digits, F.length(code) + 1, F.length(digits))).otherwise(digits)
     return (
         F.when(F.col(kind) == "email", F.lower(v))
         .when(F.col(kind).isin("card", "ssn"), digits)
         .when(F.col(kind) == "iban", F.regexp_replace(v, " ", ""))
-        .when(F.col(kind) == "phone", F.concat(country, F.lit("_"), F.regexp_replace(F.substring(v, F.length(country) + 1, F.length(v)), "[^0-9]", "")))
+        .when(F.col(kind) == "phone", F.concat(code, F.lit("_"), rest))
         .otherwise(v)
     )
 
 
-def _formatted(value: str, norm: str, surrogate: str, kind: str) -> str:
+def _formatted(value: str, surrogate: str, kind: str) -> str:
     """SQL: the surrogate in the spelling of one occurrence; what exceeds its places is appended."""
-    sure = f"regexp_replace({surrogate}, '[^0-9A-Za-z]', '')"
+    shown = f"case when {kind} = 'phone' and not startswith({value}, '+') then substring_index({surrogate}, '_', -1) else {surrogate} end"
+    sure = f"regexp_replace({shown}, '[^0-9A-Za-z]', '')"
     alnum = "'[0-9A-Za-z]'"
     nth = f"length(regexp_replace(substring({value}, 1, i + 1), '[^0-9A-Za-z]', ''))"
     spread = f"concat(array_join(transform(filter(split({value}, ''), y -> y <> ''), (x, i) -> case when x rlike {alnum} then substring({sure}, {nth}, 1) else x end), ''), substring({sure}, 1 + length(regexp_replace({value}, '[^0-9A-Za-z]', '')), 99))"
@@ -190,15 +208,24 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
         gender = F.when(title.isin(TITLES[g].split("|")), g).otherwise(gender)
     each = each.select("row", "place", "kind", "value", gender.alias("gender"), F.size(words).alias("size"), F.posexplode(words).alias("nth", "word"))
     script = F.when(F.col("word").rlike("\\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    name = F.when(F.col("nth") == F.col("size") - 1, F.concat(F.lit("surname_"), script)).otherwise(F.concat(F.lit("given_"), F.col("gender"), F.lit("_"), script))
+    name = F.when(F.col("nth") == F.col("size") - 1, F.concat(F.lit("surname_"), script)).otherwise(F.concat(F.lit("given_"), script))
     each = each.withColumn("type", F.when(F.col("kind") == "name", name).otherwise(F.col("kind")))
     each = _spark.materialize(each.withColumn("norm", _normal("kind", "word")), "occurrences")
 
-    table = assign(each.select("type", "norm"), key)
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    table = table.withColumn("salt", F.explode(salts))
-    each = each.withColumn("salt", F.pmod("row", F.lit(SALTS).cast("long"))).join(table, ["type", "norm", "salt"])
-    each = each.select("row", "place", "kind", "value", "nth", F.expr(_formatted("word", "norm", "surrogate", "kind")).alias("new"))
+    told = [F.count_if(F.col("gender") == g).alias(g) for g in "mf"]
+    values = each.groupBy("type", "norm").agg(F.count("*").alias("n"), *told)
+    values = values.withColumn("gender", F.when(F.col("m") + F.col("f") == 0, "u").when(F.col("m") >= F.col("f"), "m").otherwise("f"))
+    values = _spark.materialize(values, "values")
+    table = _spark.materialize(assign(values, key), "surrogates")
+    # a hot value would bring all its rows into one task: those few go to every task, the rest are shuffled
+    least = max(HOT, (values.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    hot = _spark.materialize(values.where(F.col("n") >= least).select("type", "norm").join(table, ["type", "norm"]), "hot")
+    hot = hot.withColumnRenamed("surrogate", "hot")
+    each = each.join(F.broadcast(hot), ["type", "norm"], "left")  # at most SHARE rows
+    columns_of = ["row", "place", "kind", "value", "nth", "word"]
+    frequent = each.where("hot is not null").select(*columns_of, F.col("hot").alias("surrogate"))
+    each = frequent.unionByName(each.where("hot is null").join(table, ["type", "norm"]).select(*columns_of, "surrogate"))
+    each = each.select("row", "place", "kind", "value", "nth", F.expr(_formatted("word", "surrogate", "kind")).alias("new"))
     # back to entities: a name keeps its title and its separators
     parts = F.array_sort(F.collect_list(F.struct("nth", "new")))
     each = each.groupBy("row", "place").agg(F.first("kind").alias("kind"), F.first("value").alias("value"), parts.alias("parts"))

@@ -1,6 +1,7 @@
 """The operators against brute force on small fixtures with nulls, empty and long texts, repeats and clashing columns."""
 
 import hashlib
+import hmac
 import random
 import re
 import zlib
@@ -255,15 +256,15 @@ def test_pii_coreference_distinctness_and_format(spark):
 
 
 def test_surrogates_stay_distinct_when_draws_collide(spark):
-    values = spark.createDataFrame([("given_m_latin", f"N{i}") for i in range(300)], "type string, norm string")
+    values = spark.createDataFrame([("given_latin", f"N{i}", "m") for i in range(200)] + [("given_latin", f"G{i}", g) for i, g in enumerate("fu" * 50)] + [("surname_latin", n, "u") for n in ("John", "Anna", "Smith")], "type string, norm string, gender string")
     rows = pii.assign(values, "k").collect()
-    assert len(rows) == 300 and len({r.surrogate for r in rows}) == 300 and not {r.surrogate for r in rows} & {r.norm for r in rows}
+    assert len(rows) == 303 and len({r.surrogate for r in rows}) == 303 and not {r.surrogate for r in rows} & {r.norm for r in rows}
 
 
 def test_given_names_have_room_for_any_number_of_values(spark):
-    values = spark.range(21_000).select(F.lit("given_f_latin").alias("type"), F.concat(F.lit("N"), "id").alias("norm"))
+    values = spark.range(50_000).select(F.lit("given_latin").alias("type"), F.concat(F.lit("N"), "id").alias("norm"), F.lit("f").alias("gender"))
     rows = pii.assign(values, "k").collect()
-    assert len(rows) == 21_000 and len({r.surrogate for r in rows}) == 21_000
+    assert len(rows) == 50_000 and len({r.surrogate for r in rows}) == 50_000
     assert all(r.surrogate.lower().endswith(tuple(x.lower() for x in pii.GIVEN["f", "latin"])) for r in rows)
 
 
@@ -275,6 +276,51 @@ def test_every_entity_passes_the_cheap_filter(spark):
     assert one[0] == re.findall(r"[0-9.]{7,}", out[2].text)[1] != "8.8.8.8" and "a@-b.org" not in out[1].text
 
 
+def test_one_name_and_one_number_have_one_surrogate(spark, monkeypatch):
+    texts = [
+        "Mr John Smith met Dr John Smith and Mrs Kim Lee saw Prof Kim Lee.", "Dr. John Jones", "call +1 212 555 1234 or +12125551234 or (212) 555-1234 or +44 20 7946 0958 or +442079460958",
+        "г-н Олег Попов, г-жа Анна Попова; Dr Олег Сомов", "xMr John Doe is no title, г-жаXX Анна either", "at 8.8.8.8",
+    ]
+    for hot in (10_000, 1):
+        monkeypatch.setattr(pii, "HOT", hot)
+        out = {r.doc_id: r.text for r in pii.surrogates(docs(spark, texts).drop("n_words"), "key").collect()}
+        a = re.fullmatch(r"Mr (\w+ \w+) met Dr (\w+ \w+) and Mrs (\w+ \w+) saw Prof (\w+ \w+)\.", out[0])
+        assert a[1] == a[2] != "John Smith" and a[3] == a[4] != "Kim Lee"
+        assert a[1].split()[0] in pii.GIVEN["m", "latin"] and a[3].split()[0] in pii.GIVEN["f", "latin"]
+        assert out[1].split()[1] == a[1].split()[0]
+        b = re.fullmatch(r"call (\+1 \d{3} \d{3} \d{4}) or (\+1\d{10}) or (\(\d{3}\) \d{3}-\d{4}) or (\+44 \d\d \d{4} \d{4}) or (\+44\d{10})", out[2])
+        bare = [re.sub(r"\D", "", x) for x in b.groups()]
+        assert bare[0] == bare[1] == "1" + bare[2] and bare[3] == bare[4] and bare[0] != "12125551234"
+        c = re.fullmatch(r"г-н (\w+) (\w+), г-жа (\w+) (\w+); Dr (\w+) (\w+)", out[3])
+        assert c[1] == c[5] in pii.GIVEN["m", "cyrillic"] and c[3] in pii.GIVEN["f", "cyrillic"] and c[2] != c[6]
+        assert out[4] == texts[4] and "8.8.8.8" not in out[5]
+
+
+def test_no_entity_survives(spark):
+    rng = random.Random(13)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    make = [
+        lambda: f"{letters(5)}@{letters(4)}.org", lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        lambda: f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"+49 {digits(3)} {digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"Mrs {letters(5).title()} {letters(6).title()}", lambda: f"Sr. {letters(7).title()}",
+    ]
+    made = [[rng.choice(make)() for _ in range(rng.randrange(1, 5))] for _ in range(150)]
+    out = {r.doc_id: r for r in pii.surrogates(docs(spark, [" ; ".join(m) for m in made]).drop("n_words"), "key").collect()}
+    for i, m in enumerate(made):
+        new = out[i].text.split(" ; ")
+        assert len(new) == len(m) == out[i].n_entities
+        assert all(a != b and re.sub(r"\w", "", a) == re.sub(r"\w", "", b) or "@" in a or a.count(".") == 3 for a, b in zip(m, new))
+    old = {x: y for i, m in enumerate(made) for x, y in zip(m, out[i].text.split(" ; "))}
+    assert len(set(old.values())) == len(old)
+    assert all(y == old[x] for i, m in enumerate(made) for x, y in zip(m, out[i].text.split(" ; ")))
+
+
+def test_digest_is_an_hmac(spark):
+    row = spark.createDataFrame([("a", "b")], "type string, norm string").select(pii._digest("k", 3, "type", "norm"), pii._digest("k" * 200, 3, "type", "norm")).first()
+    assert [row[0], row[1]] == [hmac.new(k.encode(), b"a\x01b\x013", "sha512").hexdigest() for k in ("k", "k" * 200)]
+
+
 def kneser_ney(texts, order):
     """Plain modified Kneser-Ney over bytes, in dictionaries."""
     grams = Counter()
