@@ -55,3 +55,23 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 def remainder(column: str, divisor: int):
     """crc32 of an id's decimal text, modulo divisor; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+def bounded_sample(df: DataFrame, by: str, hashed: list[str], most: int) -> DataFrame:
+    """Of each value of ``by`` about ``most`` distinct rows (all, if there are fewer): those with the least hash of the named columns.
+
+    One aggregation counts distinct rows by bucket of the hash, in steps of about a hundredth, and the buckets that fit the
+    bound are taken by a filter, so that only chosen rows are moved. Repeated rows count once; the rows have a column ``h``.
+    The counts are estimates (standard error 5 %); a bucket that exceeds the bound alone is taken whole.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*hashed), 1)
+    keyed = df.withColumn("h", h).withColumn("_bucket", F.floor(F.log2(F.col("h") + F.lit(1.0)) * 64).cast("int"))
+    counts = keyed.groupBy(by, "_bucket").agg(F.approx_count_distinct("h").alias("n")).orderBy(by, "_bucket").collect()
+    cuts, total = {}, {}
+    for value, bucket, n in counts:
+        total[value] = total.get(value, 0) + n
+        if total[value] <= most or value not in cuts:
+            cuts[value] = bucket
+    cut = df.sparkSession.createDataFrame(list(cuts.items()), df.select(F.col(by).alias("_of"), F.lit(0).alias("_cut")).schema)
+    chosen = keyed.join(F.broadcast(cut), F.col(by) == F.col("_of")).where("_bucket <= _cut")
+    return chosen.drop("_of", "_cut", "_bucket").dropDuplicates([by, "h"])

@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -180,14 +180,12 @@ def _predict(batches: Iterator[pa.RecordBatch], model: ByteGru, chunk: int = 128
 
 
 def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, windows: int = WINDOWS_PER_ROW) -> ByteGru | None:
-    """A network for the langs of docs(doc_id, text, lang), from at most ``rows`` rows of each (by hash of doc_id); None without any."""
+    """A network for the langs of docs(doc_id, text, lang), from about ``rows`` rows of each (by hash); None without any."""
     usable = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike("\\p{L}"))
     start = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - _SPAN, F.lit(1))).cast("int") + 1 for k in range(windows)]
     parts = F.array(*(F.substring(F.col("text"), s, F.lit(_SPAN)) for s in start))
-    usable = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), parts.alias("parts"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "parts")
-    sample = usable.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows)
-    found = sample.select("lang", "parts").orderBy("lang", "h", "doc_id", "parts").collect()
+    sample = _spark.bounded_sample(usable.select("lang", "doc_id", "text"), "lang", ["doc_id", "text"], rows)
+    found = sample.select("lang", "h", "doc_id", parts.alias("parts")).orderBy("lang", "h", "doc_id", "parts").collect()
     languages = sorted({r["lang"] for r in found})
     if not languages:
         return None

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docframe.llm import _text, decontamination, language_id, licenses, near_duplicates, packing, perplexity, pii, quality_rules, queries, secret_scan, toxicity
+from docframe.llm import _spark, _text, decontamination, language_id, licenses, near_duplicates, packing, perplexity, pii, quality_rules, queries, secret_scan, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string"
@@ -422,6 +422,18 @@ def test_ftrl_leaves_unused_weights_at_zero():
     assert w[1] > 0 > w[2] and not w[[0, 3, 4, 5, 6, 7]].any()
 
 
+def test_bounded_sample(spark):
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("by"), "id", F.lit("t").alias("text")).where("by > 0 or id < 600")
+    rows = rows.unionByName(spark.range(5000).select(F.lit(1).cast("long").alias("by"), F.lit(7).cast("long").alias("id"), F.lit("t").alias("text")))
+    out = _spark.bounded_sample(rows, "by", ["id", "text"], 400)
+    found = Counter(r.by for r in out.collect())
+    assert found[0] == 200 and all(340 <= found[k] <= 440 for k in (1, 2))
+    assert out.select("by", "id").distinct().count() == sum(found.values())
+    again = _spark.bounded_sample(rows.repartition(7), "by", ["id", "text"], 400)
+    assert {(r.by, r.id) for r in again.collect()} == {(r.by, r.id) for r in out.collect()}
+    assert _spark.bounded_sample(rows.limit(0), "by", ["id"], 5).count() == 0
+
+
 def test_empty_tables(spark):
     empty = docs(spark, {})
     ids = spark.createDataFrame([], "doc_id long")
