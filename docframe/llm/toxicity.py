@@ -14,7 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -22,7 +22,7 @@ from . import _spark, _text
 
 #: Bits of the map that is consulted before the list of hashes.
 BITS = 18
-#: Bound of the training sample: rows of each class (by hash of doc_id), none longer than LONGEST characters.
+#: Bound of the training sample: about so many rows of each class (by hash), none longer than LONGEST characters.
 ROWS_PER_CLASS, LONGEST = 6000, 200_000
 #: A feature counts if 3 rows and one row in so many of the sample have it; passes end after so many updates.
 RARE, UPDATES = 1000, 64_000
@@ -123,9 +123,8 @@ def train(labelled: DataFrame, rows: int = ROWS_PER_CLASS) -> tuple[np.ndarray,
     """Hashes (sorted), weights and bias learned from labelled(doc_id, text, label); rows without text or label don't count."""
     ship(labelled.sparkSession)
     usable = labelled.where("text is not null and label in (0, 1) and doc_id is not null").where(F.length("text") <= LONGEST)
-    usable = usable.select(F.xxhash64("doc_id").alias("h"), F.col("label").cast("int").alias("label"), "text")
-    order = Window.partitionBy("label").orderBy("h", "text")
-    sample = usable.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("h", "label", "text")
+    usable = usable.select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    sample = _spark.bounded_sample(usable, "label", ["doc_id", "text"], rows).select("h", "label", "text")
     sample = _spark.materialize(sample, "sample")
     least = max(3, sample.count() // RARE)
     seen = sample.mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("feature")
@@ -174,6 +173,9 @@ def toxicity(docs: DataFrame, labelled: DataFrame, held_out: Column) -> DataFram
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """docs(doc_id, text) that have a label, with it; the label table is broadcast only within its bound."""
+    """docs(doc_id, text) that have a label, with it; the label table is broadcast only within its bound.
+
+    A doc_id with several labels has the greatest of them; null ids and labels count as none.
+    """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
     return docs.select("doc_id", "text").join(_spark.small(labels, labels.count()), "doc_id")
