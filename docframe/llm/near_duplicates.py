@@ -17,8 +17,8 @@ How the links are found, none of it with all pairs of a group:
    1e-7 of true links. All others are verified on the full sets within their part, and only links leave it;
 4. components of all links.
 
-With 40 bands of 6 coordinates a pair at similarity 0.8 shares no band with probability 6e-6, one at
-0.85 with probability 1e-9.
+Bands are chosen for the threshold: with 0.8 there are 40 bands of 6 coordinates, and a pair at similarity
+0.8 shares no band with probability 6e-6, one at 0.85 with probability 1e-9.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from ..shipping import ship
 from . import _spark, _text
 from .components import connected_components
 
-BANDS, ROWS = 40, 6
+#: Coordinates of a signature at most, and the greatest share of pairs at the threshold that may have no band in common.
+COORDINATES, MISSED = 240, 1e-5
 #: Members of a bucket or of a centre that one task compares at a time.
 BLOCK = 128
 #: Members of a bucket whose signatures one task holds against each other at a time.
@@ -65,6 +66,15 @@ def circulant_signatures(values: np.ndarray, bounds: np.ndarray, k: int, block:
     return out
 
 
+def banding(similarity: float) -> tuple[int, int]:
+    """Bands and coordinates in each: the widest bands with which a pair at the threshold is missed with a chance of at most MISSED."""
+    shapes = [(COORDINATES // r, r) for r in range(1, 17)]
+    found = [(b, r) for b, r in shapes if (1 - similarity**r) ** b <= MISSED]
+    if not found:
+        raise ValueError("signatures of this length cannot find pairs of so small a similarity")
+    return found[-1]
+
+
 def _signature_rows(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     weights = (_text.mix64(np.arange(11, 11 + rows, dtype=np.uint64)) | np.uint64(1))[None, None, :]
     salt = _text.mix64(np.arange(1000, 1000 + bands, dtype=np.uint64))[None, :]
@@ -121,7 +131,14 @@ def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the named documents, once each."""
     ids = ids.distinct()
-    return docs.join(_spark.small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(_spark.small(ids, ids.count()), "doc_id", "left_semi")
+
+
+def repeated_ids(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The doc_ids of several rows, and how many there are."""
+    found = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    found = _spark.materialize(found, "repeated")
+    return found, found.count()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -149,7 +166,7 @@ class _Part:
     def __init__(self, key: tuple) -> None:
         self.key, self.rows = key, []
 
-    def pairs(self, agree: float) -> Iterator[tuple[int, np.ndarray]]:
+    def pairs(self, agree: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each left (its place) the rights of other components whose sizes and signatures let them be similar, in the first band they share."""
         places = np.array([k for k, x in enumerate(self.rows) if not x[0]], np.int64)
         if not len(places) or len(places) == len(self.rows):
@@ -162,7 +179,7 @@ class _Part:
         for k, (is_left, rep, own, _, n, own_band, own_sketch, *_) in enumerate(self.rows):
             if is_left:
                 # two members outside of the core meet twice: once as left and right, once the other way
-                at = np.flatnonzero((comp != own) & (core | (ids > rep)) & (np.minimum(size, n) >= 0.79 * np.maximum(size, n)))
+                at = np.flatnonzero((comp != own) & (core | (ids > rep)) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
                 if len(at):
                     at = at[(sketch[at] == np.frombuffer(own_sketch, np.uint8)).mean(axis=1) >= agree]
                     at = at[(band[at] == np.array(own_band)).argmax(axis=1) == self.key[1]]
@@ -170,13 +187,13 @@ class _Part:
                         yield k, places[at]
 
 
-def _hopeful(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.RecordBatch]:
+def _hopeful(batches: Iterator[pa.RecordBatch], agree: float, percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows that come by part, those that are in some pair of their part that may be similar."""
     part = None
 
     def kept(part: _Part | None) -> list[tuple]:
         use: set[int] = set()
-        for k, at in part.pairs(agree) if part else ():
+        for k, at in part.pairs(agree, percent) if part else ():
             use.add(k)
             use.update(at.tolist())
         return [(*part.key, *part.rows[k]) for k in sorted(use)]
@@ -209,7 +226,7 @@ def _linked_in_parts(batches: Iterator[pa.RecordBatch], agree: float, words: int
                 x = root[x]
             return x
 
-        for k, at in part.pairs(agree) if part else ():
+        for k, at in part.pairs(agree, percent) if part else ():
             own = part.rows[k]
             for other in (part.rows[o] for o in at):
                 a, b = find(own[2]), find(other[2])
@@ -251,24 +268,40 @@ def _apart(members: DataFrame, near: DataFrame, sig: DataFrame) -> DataFrame:
     rights = every.select(*shared, F.lit(False).alias("is_left"), spread["n_left"].alias("i"), at["n_right"].alias("j"))
     shapes = sig.select(F.col("doc_id").alias("rep"), "bands", "sketch").where("sketch is not null")
     ids = every.select("rep").distinct()
-    shapes = shapes.join(_spark.small(ids, ids.count()), "rep", "left_semi").dropDuplicates(["rep"])
+    shapes = shapes.join(_spark.small(ids, ids.count()), "rep", "left_semi")
     blocks = lefts.unionByName(rights).join(shapes, "rep")
     return blocks.select(*_BLOCK, *_MEMBER).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
     A document's set holds its distinct shingles of ``words`` lower-cased (A-Z) words; with fewer words,
     the whole sequence is its one shingle. Null, empty and white texts have an empty set and are linked
     with nothing, as are rows whose doc_id is null (their component_id is null and they are kept).
     Documents with similarity of at least ``similarity`` (whole percents count) are linked;
-    component_id is the smallest doc_id reachable and kept marks that document. Repeated rows of a
-    doc_id get a result row each. Other columns of docs are ignored; an empty table gives an empty one.
+    component_id is the smallest doc_id reachable and kept marks that document. Rows that share a doc_id
+    are one document, read by the least of their texts, and get a result row each. Other columns of docs are
+    ignored; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
-    percent = round(similarity * 100)
     docs = docs.select("doc_id", "text")
+    repeated, n = repeated_ids(docs)
+    if not n:
+        return _classes(docs, words, similarity)
+    repeated = _spark.small(repeated, n)
+    again = docs.join(repeated, "doc_id", "left_semi")
+    one = _spark.materialize(again.groupBy("doc_id").agg(F.min("text").alias("text")), "one")
+    found = _classes(docs.join(repeated, "doc_id", "left_anti").unionByName(one), words, similarity)
+    found = _spark.materialize(found, "found")
+    copies = again.select("doc_id").join(_spark.small(found.join(repeated, "doc_id", "left_semi"), n), "doc_id")
+    return found.join(repeated, "doc_id", "left_anti").unionByName(copies)
+
+
+def _classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """near_duplicates() of documents whose ids are distinct or null."""
+    percent = round(similarity * 100)
+    bands, rows = banding(percent / 100)
     sig = docs.mapInArrow(partial(_signature_rows, words=words, bands=bands, rows=rows), _SIGNATURE)
     sig = _spark.materialize(sig, "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
@@ -286,8 +319,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     links = _verified(docs, _spark.materialize(pairs, "pairs"), words, percent)
 
     near = _spark.materialize(connected_components(links), "components")
+    similarity = percent / 100
     agree = similarity - 5.4 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
-    hopeful = _spark.materialize(_apart(members, near, sig).mapInArrow(partial(_hopeful, agree=agree), _MEMBERS), "hopeful")
+    hopeful = _spark.materialize(_apart(members, near, sig).mapInArrow(partial(_hopeful, agree=agree, percent=percent), _MEMBERS), "hopeful")
     parts = hopeful.join(_texts(docs, hopeful.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep")
     parts = parts.select(*_BLOCK, *_MEMBER, "text").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
     more = parts.mapInArrow(partial(_linked_in_parts, agree=agree, words=words, percent=percent), "a long, b long")

@@ -74,6 +74,35 @@ def test_near_duplicates_against_all_pairs(spark):
     assert found == {i: (n, c, c == i) for i, (n, c) in components(texts, 4).items()}
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.9])
+def test_near_duplicates_at_other_thresholds(spark, similarity):
+    rng = random.Random(20)
+    base, texts = [prose(rng, 60) for _ in range(3)], {}
+    for i in range(60):
+        w = base[i % 3].split()
+        for _ in range(rng.randrange(14)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(999)}"
+        texts[i] = " ".join(w)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs(spark, texts), 3, similarity).collect()}
+    assert found == components(texts, 3, round(100 * similarity))
+
+
+def test_bands_fit_the_threshold():
+    assert near_duplicates.banding(0.8) == (40, 6)
+    assert all((1 - s**r) ** b <= near_duplicates.MISSED and b * r <= 240 for s in (0.1, 0.3, 0.5, 0.7, 0.9, 0.95) for b, r in [near_duplicates.banding(s)])
+    with pytest.raises(ValueError):
+        near_duplicates.banding(0.01)
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    a, b = "k l m n o p q r s t", "a b c d e f g h i j"
+    rows = [(1, a), (1, b), (1, None), (2, a), (3, b), (4, "z y x w v"), (4, "z y x w v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame in (df, df.orderBy(F.col("text").desc()).repartition(5)):
+        out = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(frame).collect())
+        assert out == [(1, 6, 1, True)] * 3 + [(2, 6, 2, True), (3, 6, 1, False)] + [(4, 1, 4, True)] * 2
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert near_duplicates.near_duplicates(docs(spark, {})).count() == 0
     df = docs(spark, ["a b c d e f"] * 2).unionByName(docs(spark, ["a b c d e f"]).withColumn("doc_id", F.lit(None).cast("long")))
