@@ -23,17 +23,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays (five-word shingles, similarity 0.8): the one with the smallest doc_id, once.
 
-    Rows that share a doc_id are one document: they go together, and one of them stays. Rows without a doc_id stay.
+    Rows that share a doc_id are one document, read by the least of their texts: they go together, and the row with that text stays. Rows without a doc_id stay.
     """
     judged = _spark.materialize(near_duplicates.near_duplicates(docs, words=5, similarity=0.8), "judged")
     dropped = judged.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(_spark.small(dropped, dropped.count()), F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    n = repeated.count()
+    repeated, n = near_duplicates.repeated_ids(out)
     if n:
-        same = F.col("doc_id") == F.col("_id")
-        again = out.join(_spark.small(repeated, n), same, "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(_spark.small(repeated, n), same, "left_anti").unionByName(again)
+        again = out.join(_spark.small(repeated, n), "doc_id", "left_semi").select(*out.columns)
+        one = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in out.columns if c != "text"])).alias("_row")).select("_row.*").select(*out.columns)
+        out = out.join(_spark.small(repeated, n), "doc_id", "left_anti").select(*out.columns).unionByName(one)
     return out
 
 
