@@ -29,6 +29,9 @@ def test_repeated_rows_are_reduced_to_one(spark, sf):
     out = corpus_pipeline.near_duplicate_stage(spark, twice, sf)
     once = corpus_pipeline.near_duplicate_stage(spark, docs, sf)
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in once.collect())
+    other = docs.where("doc_id = 1").withColumns({"text": F.lit("!!"), "source": F.lit("zz")})
+    out = corpus_pipeline.near_duplicate_stage(spark, docs.unionByName(other), sf).where("doc_id = 1").collect()
+    assert [(r.text, r.source) for r in out] == [("!!", "zz")]
 
 
 def test_registered(spark):
