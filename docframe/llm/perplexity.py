@@ -5,8 +5,8 @@ the highest order, continuation counts below, three discounts per order, and the
 probabilities, are all joins and aggregations of distinct n-grams. The same joins give the probability of
 each distinct n-gram type of the corpus; a document's log probability is the sum over its positions.
 
-The types reach the documents as one sorted table if they are few enough to broadcast, else by blocks:
-each block of documents gets the types that it holds.
+The types reach the documents by requests: a block of documents asks each shard of the type table for the
+types that it holds, packed in one row, and gets their log probabilities back. The table is never in one place.
 """
 
 from __future__ import annotations
@@ -29,10 +29,8 @@ HELD_OUT = 5
 QUANTILE, SLACK = 0.999, 0.5
 #: Held-out documents that a language needs for a threshold of its own; others take the one over all languages.
 LEAST = 20
-#: Distinct n-gram types (16 bytes each) that are broadcast at most.
-BROADCAST_TYPES = 4_000_000
-#: Bytes of text in a block, where the types are dealt out by block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in a block of documents, types in a shard of the table, and bytes of text whose requests one task of a shard answers.
+BLOCK_BYTES, SHARD_TYPES, SERVED_BYTES = 16 << 20, 1 << 18, 4 << 30
 _FLUSH = 1_000_000
 
 
@@ -156,60 +154,100 @@ def _scored(batch: pa.RecordBatch, first: int, order: int, keys: np.ndarray, log
     return pa.RecordBatch.from_arrays([doc_id, lang, held_out, pa.array(size), mean], ["doc_id", "lang", "held_out", "n_bytes", "log_perplexity"])
 
 
-def _with_broadcast(batches: Iterator[pa.RecordBatch], order: int, table) -> Iterator[pa.RecordBatch]:
-    keys, logs = table.value
-    for batch in batches:
-        yield _scored(batch, 0, order, keys, logs)
+def _distinct(parts: list[np.ndarray], column: pa.Array, order: int) -> None:
+    """Adds the sorted distinct n-grams of some texts to parts, which stay few."""
+    data, offsets = _text.utf8(column)
+    for lo, hi in _text.blocks(offsets, 4 << 20):
+        parts.append(np.unique(codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)[0]))
+        if len(parts) > 8:
+            parts[:] = [np.unique(np.concatenate(parts))]
 
 
-def _with_blocks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by (blk, role, code): first a block's types (role 0, by code), then its documents (role 1)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    block, keys, logs = None, np.zeros(0, np.int64), np.zeros(0)
+def _sharded(parts: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams by shard and then by code, and the shards' bounds among them."""
+    code = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    shard = (code % np.uint64(shards)).astype(np.int64)
+    by = np.argsort(shard, kind="stable")
+    return code[by], np.searchsorted(shard[by], np.arange(shards + 1))
+
+
+def _requests(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows (blk, ..., text) come by blk: the types of each block, a row for each shard that holds some."""
+    block, parts = None, []
+
+    def rows() -> pa.RecordBatch:
+        code, at = _sharded(parts, shards)
+        use = np.flatnonzero(np.diff(at))
+        packed = [code[at[k] : at[k + 1]].tobytes() for k in use]
+        return pa.RecordBatch.from_arrays([pa.array(use), pa.array(np.full(len(use), -1 if block is None else block)), pa.array(packed, pa.binary())], ["shard", "blk", "codes"])
+
+    for batch in batches:
+        blk = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.concatenate([[True], blk[1:] != blk[:-1]])).tolist() + [len(blk)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if blk[lo] != block:
+                yield rows()
+                block, parts[:] = blk[lo], []
+            _distinct(parts, batch.column(4).slice(lo, hi - lo), order)
+    yield rows()
+    _text.release()
+
+
+def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (shard, salt, role): first a shard's types (role 0), then the requests (role 1); yields the log probabilities asked for."""
+    own, held = None, []
+    keys = logs = None
     for batch in batches:
-        blk, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        cuts = np.flatnonzero(np.concatenate([[True], (blk[1:] != blk[:-1]) | (role[1:] != role[:-1])])).tolist() + [len(blk)]
+        shard, salt, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        new = (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (role[1:] != role[:-1])
+        cuts = np.flatnonzero(np.concatenate([[True], new])).tolist() + [len(shard)]
         for lo, hi in zip(cuts, cuts[1:]):
             part = batch.slice(lo, hi - lo)
             if role[lo] == 0:
-                if blk[lo] != block:
-                    block, held = blk[lo], []
-                held.append((part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False)))
-                keys, logs = None, None
-            else:
-                if keys is None:
-                    keys, logs = np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held])
-                yield _scored(part, 4, order, keys, logs)
-
-
-def _block_types(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Distinct (blk, code) of rows that come by blk, in bounded pieces (repeats across pieces are dropped later)."""
-    for batch in batches:
-        blk = batch.column(0).to_numpy(zero_copy_only=False)
-        data, offsets = _text.utf8(batch.column(1))
-        for lo, hi in _text.blocks(offsets, 4 << 20):
-            code, row = codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
-            for b in np.unique(blk[lo:hi]):
-                own = np.unique(code[blk[lo:hi][row] == b]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b)), pa.array(own)], ["blk", "code"])
-
-
-def _by_blocks(rows: DataFrame, logs: DataFrame, order: int, block_bytes: int) -> DataFrame:
+                if own != (shard[lo], salt[lo]):
+                    own, held = (shard[lo], salt[lo]), []
+                held.append((part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_numpy(zero_copy_only=False)))
+                keys = None
+                continue
+            if keys is None:
+                keys, logs = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+                by = np.argsort(keys)
+                keys, logs = keys[by], logs[by]
+            found = [logs[np.searchsorted(keys, np.frombuffer(x, np.int64))].tobytes() for x in part.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(5), part.column(0), pa.array(found, pa.binary())], ["blk", "shard", "logs"])
+
+
+def _block_scores(docs: pa.Table, replies: pa.Table, order: int, shards: int) -> pa.Table:
+    """The scores of one block's documents from the replies to its requests."""
+    parts: list[np.ndarray] = []
+    for batch in docs.to_batches():
+        _distinct(parts, batch.column(4), order)
+    code, at = _sharded(parts, shards)
+    logs = np.zeros(len(code))
+    for shard, raw in zip(replies.column("shard").to_pylist(), replies.column("logs").to_pylist()):
+        logs[at[shard] : at[shard + 1]] = np.frombuffer(raw, np.float64)
+    by = np.argsort(code)
+    keys, logs = code[by].astype(np.int64), logs[by]
+    return pa.Table.from_batches([_scored(batch, 1, order, keys, logs) for batch in docs.to_batches()])
+
+
+def _scores(rows: DataFrame, logs: DataFrame, types: int, order: int, block_bytes: int, shard_types: int) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("text"), F.lit(blocks)))
-    # copies of one text would share a block: the id parts them
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", "blk"), F.lit(blocks)))
-    wanted = rows.select("blk", "text").mapInArrow(partial(_block_types, order=order), "blk long, code long").distinct()
-    sides = wanted.join(logs, "code").select("blk", F.lit(0).alias("role"), "code", "logp", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("held_out", "boolean"), ("text", "string"))))
-    texts = rows.select("blk", F.lit(1).alias("role"), F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("logp"), "doc_id", "lang", "held_out", "text")
-    both = sides.unionByName(texts).repartition("blk").sortWithinPartitions("blk", "role", "code")
-    return both.mapInArrow(partial(_with_blocks, order=order), _SCORES)
+    blocks, shards = max(1, -(-size // block_bytes)), -(-types // shard_types) | 1  # odd, so that all bytes of an n-gram tell its shard
+    salts = max(1, -(-size // (shards * SERVED_BYTES)))
+    # copies of one text part by their ids; both uses of rows read one shuffle
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("blk"), "doc_id", "lang", "held_out", "text").repartition("blk")
+    asked = rows.sortWithinPartitions("blk").mapInArrow(partial(_requests, order=order, shards=shards), "shard long, blk long, codes binary")
+    asked = asked.select("shard", F.pmod("blk", F.lit(salts)).alias("salt"), F.lit(1).alias("role"), F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("logp"), "blk", "codes")
+    table = logs.select((F.col("code") % shards).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("role"), "code", "logp", F.lit(None).cast("long").alias("blk"), F.lit(None).cast("binary").alias("codes"))
+    both = table.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role")
+    replies = both.mapInArrow(_replies, "blk long, shard long, logs binary")
+    return rows.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(partial(_block_scores, order=order, shards=shards), _SCORES)
 
 
 def thresholds(scores: DataFrame) -> DataFrame:
-    """(lang, threshold) from the held-out rows, by a histogram of log perplexity in steps of 0.001; lang '*' is over all."""
-    bins = scores.where("held_out and log_perplexity is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), F.round(F.col("log_perplexity") * 1000).cast("int").alias("bin"))
+    """(lang, threshold) from the held-out rows, by a histogram of log perplexity in steps of 0.001; lang is '' for null, '=' and the name for others, '*' over all."""
+    bins = scores.where("held_out and log_perplexity is not null").select(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), F.round(F.col("log_perplexity") * 1000).cast("int").alias("bin"))
     bins = bins.groupBy("lang", "bin").agg(F.count("*").alias("n"))
     bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "bin", "n"))
     w = Window.partitionBy("lang")
@@ -220,7 +258,7 @@ def thresholds(scores: DataFrame) -> DataFrame:
     return out.select("lang", ((F.col("high") + SLACK * (F.col("high") - F.col("middle")) + 1) / 1000).alias("threshold"))
 
 
-def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, broadcast_types: int = BROADCAST_TYPES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, shard_types: int = SHARD_TYPES) -> DataFrame:
     """(doc_id, lang, n_bytes, log_perplexity, threshold, kept) for each row of docs(doc_id, text, lang).
 
     trusted(doc_id) names the documents to learn from; one in five of them (by crc32 of the id) only places
@@ -241,19 +279,11 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, broadcas
     types = _spark.materialize(types, "types")
     logs = _spark.materialize(type_logs(types, model_tables(types, order)), "logs")
     rows = rows.select("doc_id", "lang", (is_trusted & out).alias("held_out"), "text")
-    if logs.count() <= broadcast_types:
-        found = logs.toArrow()
-        keys, values = (found.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("code", "logp"))
-        by = np.argsort(keys)
-        table = docs.sparkSession.sparkContext.broadcast((keys[by], values[by].astype(np.float32)))
-        scores = rows.mapInArrow(partial(_with_broadcast, order=order, table=table), _SCORES)
-    else:
-        scores = _by_blocks(rows, logs, order, block_bytes)
-    scores = _spark.materialize(scores, "scores")
-    limits = thresholds(scores)
-    own = F.broadcast(limits.select(F.col("lang").alias("own_lang"), F.col("threshold").alias("own")))
-    every = F.broadcast(limits.where("lang = '*'").select(F.col("threshold").alias("all_langs")).withColumn("one", F.lit(1)))
-    found = scores.join(own, F.coalesce("lang", F.lit("")) == F.col("own_lang"), "left").withColumn("one", F.lit(1)).join(every, "one", "left")
-    found = found.withColumn("threshold", F.coalesce("own", "all_langs"))
+    scores = _spark.materialize(_scores(rows, logs, types.count(), order, block_bytes, shard_types), "scores")
+    limits = _spark.materialize(thresholds(scores), "limits")
+    own = limits.where("lang <> '*'").select(F.col("lang").alias("own_lang"), F.col("threshold").alias("own"))
+    found = scores.join(_spark.small(own, own.count()), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")) == F.col("own_lang"), "left")
+    every = limits.where("lang = '*'").select("threshold").scalar()
+    found = found.withColumn("threshold", F.coalesce("own", every))
     kept = F.col("log_perplexity").isNotNull() & F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True))
     return found.select("doc_id", "lang", "n_bytes", "log_perplexity", "threshold", kept.alias("kept"))

@@ -390,17 +390,18 @@ def kneser_ney(texts, order):
     return score
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_perplexity_against_plain_model(spark, most):
+@pytest.mark.parametrize("block, shard", [(1500, 300), (10**6, 10**6)])
+def test_perplexity_against_plain_model(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(perplexity, "SERVED_BYTES", 10 * block)
     rng = random.Random(9)
     texts = {i: prose(rng, 30, 40) for i in range(40)} | {50: None, 51: "", 52: "%% && ## é!"}
     trusted = [i for i in range(30)]
-    out = perplexity.perplexity(docs(spark, texts), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), broadcast_types=most, block_bytes=1500).collect()
+    out = perplexity.perplexity(docs(spark, texts), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), block_bytes=block, shard_types=shard).collect()
     score = kneser_ney([texts[i] for i in trusted if zlib.crc32(str(i).encode()) % perplexity.HELD_OUT], perplexity.ORDER)
     assert len(out) == len(texts)
     for r in out:
         if texts[r.doc_id]:
-            assert r.log_perplexity == pytest.approx(score(texts[r.doc_id]), rel=1e-4)
+            assert r.log_perplexity == pytest.approx(score(texts[r.doc_id]), rel=1e-9)
         else:
             assert r.log_perplexity is None and not r.kept
     kept = {r.doc_id: r.kept for r in out}
