@@ -1,132 +1,190 @@
 """Licence scans by a trained paragraph classifier, applied with DataFrame functions only.
 
-A paragraph (a line of text) is the set of its word uni-, bi- and trigrams. A sparse multinomial logistic
-regression over those n-grams names the licence family; it is trained in numpy on notices made from the
-templates below (whole, cut and with words left out) against words that no notice holds. A family needs a
-calibrated probability and a template whose bigrams the paragraph largely contains; a paragraph that
-speaks of licensing but is confirmed by no template belongs to the class ``unknown``.
+A paragraph runs to the next blank line, over line breaks; it is read in overlapping windows of words, so
+that a notice of up to half a window stands whole in one of them and several notices of a paragraph are
+told apart. A window is the set of its word uni-, bi- and trigrams. Sparse logistic regressions over those
+n-grams, one for each family and one for ``unknown`` (licensing of other kinds), are trained in numpy on
+built-in notices (windows of them, words left out, several in one, amid other text) against texts that use
+the same words otherwise. Whole notices are held out to set the temperature that calibrates the
+probabilities; the weights are then learned from all. A family is confirmed by a template: a piece of a
+notice whose bigrams the window largely contains.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices of each family (fixed values).
-TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License", "released under the Apache License 2.0"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-only", "released under the GNU GPL version 2 or later"],
-    "LGPL": ["licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "AGPL": ["licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD": ["Released under the BSD License.", "Licensed under the 3-clause BSD license", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
-    "CC0": ["Dedicated to the public domain under CC0 1.0 Universal", "No rights reserved under the Creative Commons CC0 public domain dedication"],
-    "proprietary": ["All rights reserved.", "Copyright by the authors. All rights reserved.", "This document is confidential and proprietary"],
-}
-#: Words at least one of which every n-gram of the model holds; a paragraph without them has no features (fixed values).
+from .notices import NAMES, NOTICES, OTHER_TEXTS, OTHERS
+
+#: Words at least one of which every n-gram of the model holds; a window without them has no features (fixed values).
 TRIGGERS = (
-    "license licensed licence licenced spdx mit apache gnu gpl lgpl agpl bsd mozilla mpl cc cc0 creative commons copyright rights "
-    "reserved permission redistribution warranty proprietary confidential affero lesser attribution sharealike noncommercial domain compliance software"
+    "license licensed licenses spdx mit apache gnu gpl lgpl agpl bsd mozilla mpl cc cc0 creative commons copyright rights "
+    "reserved permission redistribution redistributions warranty warranties proprietary confidential affero lesser attribution sharealike "
+    "noncommercial domain compliance software"
 ).split()
-#: Words that mark a paragraph as speaking of licensing, for the class unknown (fixed values).
-TELLING = ("license", "licensed", "licence", "licenced", "spdx", "copyright")
-#: Least probability of a family after calibration, and least share of a template's bigrams that confirms it.
-PROBABILITY, CONTAINED = 0.6, 0.6
+#: Words of a window and of a step; a template is a piece of at most half a window.
+WIDTH, STEP, PIECE = 32, 16, 14
+#: Least calibrated probability of a family or of unknown, and least share of a template's bigrams that confirms a family.
+PROBABILITY, CONTAINED = 0.5, 0.6
+#: One notice of each family in so many is held out for the calibration.
+HELD_OUT = 4
+VARIANTS = 14
+UNKNOWN = "unknown"
 _WORD = "[a-z0-9]+"
 
 
+def tokens(text: str) -> list[str]:
+    return re.findall(_WORD, text.lower().replace("licenc", "licens"))
+
+
 def _grams(words: list[str]) -> set[str]:
     grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
     return {g for g in grams if set(g.split(" ")) & set(TRIGGERS)}
 
 
-def _tokens(text: str) -> list[str]:
-    return re.findall(_WORD, text.lower())
-
-
-def train(seed: int = 3, rounds: int = 300) -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
-    """Families (the last is none), weights by n-gram (L1-sparse) and biases, the latter scaled to calibrated probabilities."""
-    rng = np.random.default_rng(seed)
-    names = [*TEMPLATES, "none"]
-    rows: list[tuple[set[str], int]] = []
-    for k, name in enumerate(TEMPLATES):
-        for text in TEMPLATES[name]:
-            words = _tokens(text)
-            rows += [(_grams(words), k)] * 3
-            for _ in range(12):  # words left out, and whole notices inside other text
-                kept = [w for w in words if rng.random() > 0.12]
-                rows.append((_grams(["x", *kept, "y"]), k))
-    for text in ("this page speaks of a license", "see the license file", "copyright is a right", "a public domain name", "software is sold", "rights and duties", "permission was asked", "the commons", "he was licensed to drive", "driving license", "creative work", "version 2", ""):
-        rows += [(_grams(_tokens(text)), len(names) - 1)] * 12
-    held = np.array([i % 5 == 4 for i in range(len(rows))])
-    vocabulary = sorted(set().union(*(g for g, _ in rows)))
+def _bigrams(words: list[str]) -> set[str]:
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+
+def templates() -> list[tuple[int, list[str]]]:
+    """(family, sorted bigrams) of the pieces of all notices; equal ones of a family once."""
+    found = set()
+    for k, notices in enumerate(NOTICES.values()):
+        for words in map(tokens, notices):
+            cuts = list(range(0, max(1, len(words) - PIECE // 2), PIECE))
+            for a, b in zip(cuts, [*cuts[1:], len(words)]):
+                found.add((k, tuple(sorted(_bigrams(words[a : min(b, a + PIECE + PIECE // 2)])))))
+    return [(k, list(x)) for k, x in sorted(found) if x]
+
+
+def _samples(rng: np.random.Generator) -> list[tuple[set[str], set[int], bool]]:
+    """(n-grams, classes, held out) of windows; a held-out notice is in no other sample."""
+    out, families, unknown = [], list(NOTICES), len(NOTICES)
+    filler = lambda: ["x"] * int(rng.integers(0, 12))
+
+    def window(words: list[str]) -> list[str]:
+        at = int(rng.integers(0, max(1, len(words) - STEP)))
+        return words[at : at + WIDTH]
+
+    def worn(words: list[str]) -> list[str]:
+        return [w for w in words if rng.random() > 0.08]
+
+    known = [(tokens(n), k, i % HELD_OUT == HELD_OUT - 1) for k, f in enumerate(families) for i, n in enumerate(NOTICES[f])]
+    for words, k, held in known:
+        out.append((_grams(words[:WIDTH]), {k}, held))
+        for _ in range(VARIANTS):
+            out.append((_grams([*filler(), *worn(window(words)), *filler()]), {k}, held))
+    for i, text in enumerate(OTHERS):
+        for _ in range(VARIANTS):
+            words = tokens(text.replace("NAME", str(rng.choice(NAMES))).replace("VERSION", str(rng.integers(1, 9))))
+            out.append((_grams([*filler(), *worn(words), *filler()]), {unknown}, i % HELD_OUT == HELD_OUT - 1))
+    for i, text in enumerate(OTHER_TEXTS):
+        for _ in range(4):
+            out.append((_grams([*filler(), *tokens(text), *filler()]), set(), i % HELD_OUT == HELD_OUT - 1))
+    for i, word in enumerate(TRIGGERS):  # a word alone is no notice
+        out += [(_grams(["x"] * k + [word] + ["x"]), set(), i % HELD_OUT == HELD_OUT - 1) for k in range(4)]
+    short = [x for x in known if len(x[0]) <= STEP]
+    for _ in range(40 * VARIANTS):  # two notices in one window
+        (a, k, held), (b, j, other) = (short[i] for i in rng.integers(0, len(short), 2))
+        if held == other:
+            out.append((_grams([*a, *filler()[:4], *b]), {k, j}, held))
+    return out
+
+
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 6.0, l1: float = 4e-5) -> tuple[np.ndarray, np.ndarray]:
+    """L1-sparse logistic regressions for all columns of y, by proximal gradient steps with momentum."""
+    w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+    moved, moved_b = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(rounds):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(x)
+        moved = 0.8 * moved + x.T @ error
+        moved_b = 0.8 * moved_b + error.sum(axis=0)
+        w = w - rate * moved
+        b = b - rate * moved_b
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+    return w, b
+
+
+@lru_cache(maxsize=1)
+def train(seed: int = 3) -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float]:
+    """Classes (the last is unknown), weights by n-gram and biases, both divided by the temperature, and the held-out log loss of a decision."""
+    rows = _samples(np.random.default_rng(seed))
+    names = [*NOTICES, UNKNOWN]
+    vocabulary = sorted(set().union(*(g for g, _, _ in rows)))
     at = {g: i for i, g in enumerate(vocabulary)}
-    x = np.zeros((len(rows), len(vocabulary)))
-    for i, (grams, _) in enumerate(rows):
+    x, y = np.zeros((len(rows), len(vocabulary))), np.zeros((len(rows), len(names)))
+    for i, (grams, classes, _) in enumerate(rows):
         x[i, [at[g] for g in grams]] = 1
-    y = np.eye(len(names))[[k for _, k in rows]]
-    w, b = np.zeros((len(vocabulary), len(names))), np.zeros(len(names))
+        y[i, list(classes)] = 1
+    held = np.array([h for _, _, h in rows])
+    w, b = _fit(x[~held], y[~held])
+    z = x[held] @ w + b
+
+    def loss(t: float) -> float:
+        return float(np.logaddexp(0, np.where(y[held] > 0, -z, z) / t).mean())
+
+    t = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
+    w, b = _fit(x, y)
+    return names, {g: w[i] / t for g, i in at.items() if np.abs(w[i]).max() > 1e-3}, b / t, loss(t)
 
-    def soft(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
 
-    for _ in range(rounds):  # proximal gradient: a step, then the L1 shrinkage
-        error = (soft(x[~held] @ w + b) - y[~held]) / (~held).sum()
-        w -= 8 * (x[~held].T @ error)
-        b -= 8 * error.sum(axis=0)
-        w = np.sign(w) * np.maximum(np.abs(w) - 8 * 2e-5, 0)
-    # temperature on the held-out notices: the one with the least log loss
-    losses = {t: -np.log((soft((x[held] @ w + b) / t) * y[held]).sum(axis=1) + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0)}
-    t = min(losses, key=losses.get)
-    return names, {g: w[i] / t for g, i in at.items() if np.abs(w[i]).max() > 1e-3}, b / t
+def _literal(values: list[str]) -> str:
+    return "array(" + ",".join(f"'{v}'" for v in values) + ")"
 
 
-def _sql_array(values, kind: str) -> str:
-    return f"cast(split('{','.join(f'{v:.4g}' if isinstance(v, float) else str(v) for v in values)}', ',') as array<{kind}>)"
+def _doubles(values: list[float]) -> str:
+    return f"cast(split('{','.join(f'{v:.4g}' for v in values)}', ',') as array<double>)"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_notices, n_unknown, families, notices) for each row of docs(doc_id, text).
 
-    notices: array<struct<line, family, probability, contained>> of the lines that name a family or are
-    unknown; lines count from 0. families: the sorted distinct families, without unknown. Null and empty
-    texts have none. Equal texts get equal results, other columns are ignored, an empty table gives none.
+    notices: array<struct<paragraph, family, probability, contained>>, sorted, one for each family of a
+    paragraph, with the figures of its surest window. Paragraphs are runs of lines up to a blank one, counted
+    from 0. A paragraph without a confirmed family is ``unknown`` if that class has at least PROBABILITY, or if
+    a family has that no template confirms. families: the sorted distinct families, without unknown.
+    Null and empty texts have none. Equal texts get equal results, other columns are ignored, an empty table
+    gives none.
     """
-    names, weights, bias = train()
+    names, weights, bias, _ = train()
     grams = sorted(weights)
-    n = len(names)
-    flat = [float(v) for g in grams for v in weights[g]]
-    templates = [(k, sorted({f"{a} {b}" for a, b in zip(w, w[1:])})) for k, name in enumerate(TEMPLATES) for w in map(_tokens, TEMPLATES[name])]
-    words = f"regexp_extract_all(lower(line), '{_WORD}', 0)"
+    n, known = len(names), len(NOTICES)
+    trigger = r"(?i)\b(?:licence|licenced|licences|" + "|".join(TRIGGERS) + r")\b"
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    trigger = r"(?i)\b(?:" + "|".join(TRIGGERS) + r")\b"
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(trigger))
-    df = df.select("doc_id", F.when(F.col("text").rlike(trigger), lines).alias("lines"))
-    df = df.withColumn("lines", F.transform("lines", lambda x: F.struct(x["line"].alias("line"), F.regexp_extract_all(F.lower(x["text"]), F.lit(_WORD), F.lit(0)).alias("w"))))
+    parts = F.transform(F.split("text", r"\r?\n[ \t\x0b\x0c\r]*\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
+    parts = F.filter(parts, lambda x: x["text"].rlike(trigger))
+    parts = F.transform(parts, lambda x: F.struct(x["paragraph"].alias("paragraph"), F.regexp_extract_all(F.replace(F.lower(x["text"]), F.lit("licenc"), F.lit("licens")), F.lit(_WORD), F.lit(0)).alias("w")))
+    df = df.select("doc_id", F.when(F.col("text").rlike(trigger), parts).alias("parts"))
+    put = lambda to, sql: df.withColumn(to, F.expr(sql))
+    df = put("wins", f"flatten(transform(parts, x -> transform(sequence(0, greatest(size(x.w) - {STEP} - 1, 0), {STEP}), i -> struct(x.paragraph as paragraph, slice(x.w, i + 1, {WIDTH}) as w))))")
+    df = put("wins", f"filter(wins, x -> arrays_overlap(x.w, {_literal(TRIGGERS)}))")
     bigrams = "transform(slice(x.w, 1, greatest(size(x.w) - 1, 0)), (a, i) -> concat(a, ' ', x.w[i + 1]))"
     trigrams = "transform(slice(x.w, 1, greatest(size(x.w) - 2, 0)), (a, i) -> concat(a, ' ', x.w[i + 1], ' ', x.w[i + 2]))"
-    df = df.withColumn("lines", F.expr(f"transform(lines, x -> struct(x.line as line, x.w as w, array_distinct({bigrams}) as bi))"))
-    listed = "array(" + ",".join(f"'{g}'" for g in grams) + ")"
-    df = df.withColumn("lines", F.expr(f"transform(lines, x -> struct(x.line as line, x.w as w, x.bi as bi, transform(array_intersect({listed}, array_union(array_union(x.w, x.bi), {trigrams})), g -> array_position({listed}, g) - 1) as at))"))
-    df = df.withColumn("lines", F.expr("filter(lines, x -> size(x.at) > 0)"))
-    w, b = _sql_array(flat, "double"), _sql_array([float(v) for v in bias], "double")
-    df = df.withColumn("lines", F.expr(f"transform(lines, x -> struct(x.line as line, x.w as w, x.bi as bi, transform({b}, (v, k) -> v + aggregate(x.at, 0D, (s, i) -> s + {w}[cast(i as int) * {n} + k])) as z))"))
-    df = df.withColumn("lines", F.expr("transform(lines, x -> struct(x.line as line, x.w as w, x.bi as bi, array_position(x.z, array_max(x.z)) - 1 as k, 1 / aggregate(x.z, 0D, (s, v) -> s + exp(v - array_max(x.z))) as p))"))
-    share = "greatest(" + ",".join(f"if(x.k = {k}, size(array_intersect(x.bi, array({','.join(repr(g) for g in t)}))) / {len(t)}D, 0D)" for k, t in templates) + ", 0D)"
-    df = df.withColumn("lines", F.expr(f"transform(lines, x -> struct(x.line as line, x.w as w, cast(x.k as int) as k, x.p as p, {share} as c))"))
-    named = "array(" + ",".join(f"'{x}'" for x in names) + ")"
-    telling = "array(" + ",".join(f"'{x}'" for x in TELLING) + ")"
-    family = f"case when x.k < {n - 1} and x.p >= {PROBABILITY} and x.c >= {CONTAINED} then {named}[x.k] when arrays_overlap(x.w, {telling}) then 'unknown' end"
-    df = df.withColumn("notices", F.expr(f"filter(transform(lines, x -> struct(x.line as line, {family} as family, round(x.p, 6) as probability, round(x.c, 6) as contained)), x -> x.family is not null)"))
-    notices = F.coalesce("notices", F.expr("cast(array() as array<struct<line: int, family: string, probability: double, contained: double>>)"))
+    df = put("wins", f"transform(wins, x -> struct(x.paragraph as paragraph, x.w as w, array_distinct({bigrams}) as bi))")
+    places = "map_from_arrays(" + _literal(grams) + f", sequence(0, {len(grams) - 1}))"
+    df = put("wins", f"transform(wins, x -> struct(x.paragraph as paragraph, x.bi as bi, transform(array_intersect({_literal(grams)}, array_union(array_union(x.w, x.bi), {trigrams})), g -> {places}[g]) as at))")
+    df = put("wins", "filter(wins, x -> size(x.at) > 0)")
+    w, b = _doubles([float(v) for g in grams for v in weights[g]]), _doubles([float(v) for v in bias])
+    df = put("wins", f"transform(wins, x -> struct(x.paragraph as paragraph, x.bi as bi, transform({b}, (v, k) -> 1 / (1 + exp(-(v + aggregate(x.at, 0D, (s, i) -> s + {w}[i * {n} + k]))))) as p))")
+    shares = [[t for f, t in templates() if f == k] for k in range(known)]
+    share = ",".join(
+        f"if(x.p[{k}] >= {PROBABILITY}, greatest(" + ",".join(f"size(array_intersect(x.bi, {_literal(t)})) / {len(t)}D" for t in own) + ", 0D), 0D)" for k, own in enumerate(shares)
+    )
+    df = put("wins", f"transform(wins, x -> struct(x.paragraph as paragraph, x.p as p, array({share}) as c))")
+    # each window's classes, then the surest window of each paragraph and family
+    named = _literal(names)
+    sure = f"transform(filter(sequence(0, {known - 1}), k -> x.p[k] >= {PROBABILITY} and x.c[k] >= {CONTAINED}), k -> struct({named}[k] as family, round(x.p[k], 6) as probability, round(x.c[k], 6) as contained))"
+    unsure = f"if(array_max(x.p) >= {PROBABILITY}, array(struct('{UNKNOWN}' as family, round(array_max(x.p), 6) as probability, round(array_max(x.c), 6) as contained)), array())"
+    df = put("found", f"flatten(transform(wins, x -> transform(if(size({sure}) > 0, {sure}, {unsure}), y -> struct(x.paragraph as paragraph, y.family as family, y.probability as probability, y.contained as contained))))")
+    df = put("found", f"filter(found, x -> x.family <> '{UNKNOWN}' or not exists(found, y -> y.paragraph = x.paragraph and y.family <> '{UNKNOWN}'))")
+    better = "y.paragraph = x.paragraph and y.family = x.family and (y.probability > x.probability or y.probability = x.probability and y.contained > x.contained)"
+    df = put("found", f"array_sort(array_distinct(filter(found, x -> not exists(found, y -> {better}))))")
+    notices = F.coalesce("found", F.expr("cast(array() as array<struct<paragraph: int, family: string, probability: double, contained: double>>)"))
     df = df.select("doc_id", notices.alias("notices"))
-    known = F.filter("notices", lambda x: x["family"] != "unknown")
-    return df.select("doc_id", F.size(known).cast("long").alias("n_notices"), (F.size("notices") - F.size(known)).cast("long").alias("n_unknown"), F.array_sort(F.array_distinct(F.transform(known, lambda x: x["family"]))).alias("families"), "notices")
+    sure = F.filter("notices", lambda x: x["family"] != UNKNOWN)
+    return df.select("doc_id", F.size(sure).cast("long").alias("n_notices"), (F.size("notices") - F.size(sure)).cast("long").alias("n_unknown"), F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))).alias("families"), "notices")
