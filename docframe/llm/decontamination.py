@@ -109,10 +109,11 @@ def _runs(tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int) -> np.n
         return _text.mix64((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(U64) + U64(seed))
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int], initial: bool) -> Iterator[tuple]:
+def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int], window: int, initial: bool) -> Iterator[tuple]:
     """For each window size: hashes, rows, places, widths and, as a function of chosen windows, their slots (kind, value).
 
-    A window with fewer than 5 words in 8 tokens is hashed with its values, and once more in the least width that has them.
+    A window with fewer than 5 words in 8 tokens is hashed with its values, and once more in the least width that has them;
+    so is a smaller one, which is for whole short items, with fewer than 3 words or than words in half of its tokens.
     """
     token, kind, value, word, bounds = templates(data, offsets, initial)
     literal, counted = (np.concatenate([[0], np.cumsum(x)]) for x in (kind == _LITERAL, word))
@@ -122,7 +123,8 @@ def _windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int], initial: b
         row = np.repeat(np.arange(len(count)), count)
         begin = bounds[:-1][row] + np.arange(len(grams)) - at[:-1][row]
         end = begin + n
-        good = (8 * (counted[end] - counted[begin]) >= 5 * n) & (2 * (literal[end] - literal[begin]) >= n)
+        words = counted[end] - counted[begin]
+        good = (8 * words >= 5 * n if n >= window else words >= max(3, -(-n // 2))) & (2 * (literal[end] - literal[begin]) >= n)
         few = np.flatnonzero(~good)
         if len(few):
             exact = _runs(value + kind.astype(U64), begin[few], end[few], n)
@@ -161,12 +163,12 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int, least: int) ->
         data, offsets = _text.utf8(batch.column(1))
         for initial in (False, True):
             tokens = np.diff(templates(data, offsets, initial)[4])
-            for n, grams, row, place, _, slots in _windows(data, offsets, list(range(least, window + 1)), initial):
+            for n, grams, row, place, _, slots in _windows(data, offsets, list(range(least, window + 1)), window, initial):
                 pick = np.flatnonzero((tokens[row] == n) | (n == window))
                 yield _batch(ids[row[pick]], grams[pick], place[pick], tokens[row[pick]], initial, slots(pick))
 
 
-def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marked: np.ndarray, chunk: int = 512 << 10) -> Iterator[pa.RecordBatch]:
+def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], window: int, marked: np.ndarray, chunk: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """The windows of documents whose bit is set in the map. size: tokens of the window."""
     mask = U64((1 << BITS) - 1)
     for batch in batches:
@@ -174,7 +176,7 @@ def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marke
         data, offsets = _text.utf8(batch.column(1))
         for lo, hi in _text.blocks(offsets, chunk):
             for initial in (False, True):
-                for _, grams, row, place, width, slots in _windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], sizes, initial):
+                for _, grams, row, place, width, slots in _windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], sizes, window, initial):
                     pick = np.flatnonzero(marked[(grams & mask).astype(np.int64)])
                     if len(pick):
                         yield _batch(ids[lo + row[pick]], grams[pick], place[pick], width[pick], initial, slots(pick))
@@ -202,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
         marked[at[at < len(marked)]] = True
     sizes = sorted({min(int(r["size"]), window) for r in items.select(F.least("size", F.lit(window)).alias("size")).distinct().collect()})
     base = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    hits = base.mapInArrow(partial(_document_windows, sizes=sizes, marked=marked), _HITS)
+    hits = base.mapInArrow(partial(_document_windows, sizes=sizes, window=window, marked=marked), _HITS)
     hits = hits.select(F.col("id").alias("doc_id"), "h", F.col("place").alias("doc_place"), F.col("size").alias("n"), "initial", F.col("slots").alias("there"))
     hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long")))
     items = items.select(F.col("id").alias("item_id"), "h", "place", "size", "initial", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
