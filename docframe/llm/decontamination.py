@@ -25,10 +25,11 @@ from . import _spark, _text
 WINDOW = 8
 #: Tokens of an item that a leak covers at least (all of a shorter item); items under LEAST tokens are not looked for.
 COVER, LEAST = 13, 5
-#: Bits of the map of benchmark windows that the scan consults: its size whatever the benchmark's.
-BITS = 22
-#: Parts among which the rows of one window are dealt, so that a passage shared by many documents is no hot key.
-SALTS = 16
+#: The map of benchmark windows that the scan consults has 2**BITS bits or more, for 16 a window, up to 2**MOST_BITS (16 MiB).
+BITS, MOST_BITS = 16, 27
+#: Rows of benchmark windows that are broadcast at most. Beyond, the rows of one window are dealt among so many parts, so that a
+#: passage shared by many documents is no hot key.
+BROADCAST_WINDOWS, SALTS = 200_000, 64
 #: Words that are units after a number (fixed values).
 UNITS = (
     "kg g mg km m cm mm mi ft in lb lbs oz s ms h l ml w kw v a hz mhz ghz kb mb gb tb mph kmh usd eur gbp "
@@ -168,16 +169,17 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int, least: int) ->
                 yield _batch(ids[row[pick]], grams[pick], place[pick], tokens[row[pick]], initial, slots(pick))
 
 
-def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], window: int, marked: np.ndarray, chunk: int = 512 << 10) -> Iterator[pa.RecordBatch]:
+def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], window: int, marked: np.ndarray, bits: int, chunk: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """The windows of documents whose bit is set in the map. size: tokens of the window."""
-    mask = U64((1 << BITS) - 1)
+    mask = U64((1 << bits) - 1)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = _text.utf8(batch.column(1))
         for lo, hi in _text.blocks(offsets, chunk):
             for initial in (False, True):
                 for _, grams, row, place, width, slots in _windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], sizes, window, initial):
-                    pick = np.flatnonzero(marked[(grams & mask).astype(np.int64)])
+                    at = (grams & mask).astype(np.int64)
+                    pick = np.flatnonzero(marked[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                     if len(pick):
                         yield _batch(ids[lo + row[pick]], grams[pick], place[pick], width[pick], initial, slots(pick))
     _text.release()
@@ -195,20 +197,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     items = items.mapInArrow(partial(_item_windows, window=window, least=LEAST), _HITS).distinct()
     items = _spark.materialize(items, "items")
-    bit = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)) + 1  # a bucket holds 32768 numbers, the first from 1 on
+    n = items.count()
+    bits = min(MOST_BITS, max(BITS, (16 * n).bit_length()))
+    bit = F.col("h").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # a bucket holds 32768 numbers, the first from 1 on
     maps = items.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("map"))
-    marked = np.zeros(1 << BITS, bool)
-    for part, found in maps.collect():  # at most 2**BITS / 32768 rows of 4 KiB
-        bits = np.unpackbits(np.frombuffer(bytes(found), np.uint8), bitorder="little")
-        at = (part - 1) * 32768 + np.flatnonzero(bits)
-        marked[at[at < len(marked)]] = True
+    marked = np.zeros(((1 << bits) >> 3) + 4096, np.uint8)
+    for part, found in maps.collect():  # at most 2**bits / 32768 rows of 4 KiB
+        marked[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(found), np.uint8)
     sizes = sorted({min(int(r["size"]), window) for r in items.select(F.least("size", F.lit(window)).alias("size")).distinct().collect()})
     base = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    hits = base.mapInArrow(partial(_document_windows, sizes=sizes, window=window, marked=marked), _HITS)
+    hits = base.mapInArrow(partial(_document_windows, sizes=sizes, window=window, marked=marked, bits=bits), _HITS)
     hits = hits.select(F.col("id").alias("doc_id"), "h", F.col("place").alias("doc_place"), F.col("size").alias("n"), "initial", F.col("slots").alias("there"))
-    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long")))
-    items = items.select(F.col("id").alias("item_id"), "h", "place", "size", "initial", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    met = hits.join(items, ["h", "initial", "salt"]).where(F.size("slots") == F.size("there"))
+    items = items.select(F.col("id").alias("item_id"), "h", "place", "size", "initial", "slots")
+    if n <= BROADCAST_WINDOWS:
+        met = hits.join(F.broadcast(items), ["h", "initial"])
+    else:
+        hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long")))
+        salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+        met = hits.join(items.withColumn("salt", F.explode(salts)), ["h", "initial", "salt"])
+    met = met.where(F.size("slots") == F.size("there"))
     pair = F.transform(F.arrays_zip("slots", "there"), lambda x: F.struct(x["slots"]["k"].alias("k"), x["slots"]["v"].alias("a"), x["there"]["v"].alias("b")))
     met = met.groupBy("doc_id", "item_id", "initial", (F.col("doc_place") - F.col("place")).alias("shift"))
     met = met.agg(F.max("size").alias("size"), F.array_sort(F.collect_set(F.struct("place", "n"))).alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from docframe.llm import decontamination as op
 
 NAMES = "Tom Ann Bob Eve Max Lea Sam Ida Paul Rosa".split()
@@ -104,7 +106,9 @@ def prose(rng, n):
     return " ".join(rng.choice("the a of house river seven green walk over under long Light bell 12 7 Mary kg".split()) for _ in range(n)) + "."
 
 
-def test_against_all_windows(spark):
+@pytest.mark.parametrize("most", [op.BROADCAST_WINDOWS, 0])
+def test_against_all_windows(spark, monkeypatch, most):
+    monkeypatch.setattr(op, "BROADCAST_WINDOWS", most)
     rng = random.Random(1)
     items = {i: filled(rng, rng.choice(QUESTIONS)) for i in range(40)} | {100 + i: prose(rng, rng.randrange(3, 25)) for i in range(30)}
     docs = {}
