@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from docframe.llm import _spark, decontamination, near_duplicates, packing, pii, quality_rules
 from docframe.llm.queries import PII_KEY, tokenizer_path, trusted_ids
 
+#: Names that no column of documents has.
+_ID, _OWN = "_docframe_id", "_docframe_own_n_entities"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; null and short texts are rejected too."""
@@ -26,8 +29,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share a doc_id are one document, read by the least of their texts: they go together, and the row with that text stays. Rows without a doc_id stay.
     """
     judged = _spark.materialize(near_duplicates.near_duplicates(docs, words=5, similarity=0.8), "judged")
-    dropped = judged.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(_spark.small(dropped, dropped.count()), F.col("doc_id") == F.col("_id"), "left_anti")
+    dropped = judged.where("not kept").select(F.col("doc_id").alias(_ID)).distinct()
+    out = docs.join(_spark.small(dropped, dropped.count()), F.col("doc_id") == F.col(_ID), "left_anti")
     repeated, n = near_duplicates.repeated_ids(out)
     if n:
         again = out.join(_spark.small(repeated, n), "doc_id", "left_semi").select(*out.columns)
@@ -38,14 +41,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontamination.leaks(docs, _spark.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    found = decontamination.leaks(docs, _spark.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(_ID)).distinct()
     found = _spark.materialize(found, "leaked")
-    return docs.join(_spark.small(found, found.count()), F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(_spark.small(found, found.count()), F.col("doc_id") == F.col(_ID), "left_anti")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts are replaced by surrogates."""
-    return pii.surrogates(docs, PII_KEY).select(*docs.columns)
+    """Personal data in the texts are replaced by surrogates; a column n_entities of documents stays what it is."""
+    found = pii.surrogates(docs.withColumnRenamed("n_entities", _OWN), PII_KEY).drop("n_entities")
+    return found.withColumnRenamed(_OWN, "n_entities").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
