@@ -101,3 +101,19 @@ def q_path_projection(read: Read) -> DataFrame:
     props = F.col("props")
     k = objects.at(props, "k")
     return read("events").select("event_id", objects.integer(k).alias("k"), objects.either(objects.real(k), 0.0).alias("k_real"), objects.either(objects.integer(objects.at(props, "none", 0, "deeper")), -1).alias("missing"))
+
+
+@_query("""
+    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'recovered' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'password required' ELSE 'damaged' END AS status,
+           CASE WHEN doc_id % 5 IN (0, 1, 4) THEN CAST((length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 50) // 50 AS INT) END AS n_pages
+    FROM documents""")
+def q_pdf_status(read: Read) -> DataFrame:
+    """The status of whole files, of files without cross references, without a header, locked ones and ones with pages that can't be read."""
+    found = pdf.read(pack.pack(_documents(read), pack.damaged_file), "files")
+    return found.select(F.col("path").cast("long").alias("doc_id"), "status", "n_pages")
+
+
+@_query("SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 5 IN (0, 1)")
+def q_pdf_recovered_text(read: Read) -> DataFrame:
+    """Texts of the same files that can be read: whole ones and those whose objects are found by a scan."""
+    return _joined_pages(pack.pack(_documents(read), pack.damaged_file)).select(F.col("path").cast("long").alias("doc_id"), "text")

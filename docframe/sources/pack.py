@@ -64,3 +64,12 @@ def drawing_file(row: dict) -> bytes:
 
 def titled_file(row: dict) -> bytes:
     return one_page(b"", info={"Title": b"\xfe\xff" + (row["title"] or "").encode("utf-16-be"), "Author": (row["author"] or "").encode("latin-1", "replace")})
+
+
+def damaged_file(row: dict) -> bytes:
+    """A row's text as a file that is, by its path's number modulo 5: whole, without cross references, without a header, locked, with an unknown filter."""
+    kind = int(row["path"]) % 5
+    whole = writer.text_file(row["text"] or "", encrypt="AESV2" if kind == 3 else None, user_password=b"secret")
+    if kind == 1:
+        return whole[: whole.rindex(b"\nxref")]
+    return whole.replace(b"%PDF-", b"%TXT-", 1) if kind == 2 else whole.replace(b"/FlateDecode", b"/OtherDecode") if kind == 4 else whole

@@ -1,6 +1,6 @@
 """PDF files to rows: objects and pages of each file, read in Arrow batches of one file per row.
 
-A damaged file never fails a task: it gives a row in ``status`` and whatever could be read.
+A damaged file never fails a task: it gives the rows that could be read, and one row of the kind ``files`` tells its status.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,12 @@ _SECTION = re.compile(rb"\s*(\d+)[ \t]+(\d+)[ \t]*[\r\n]+")
 _ENTRY = re.compile(rb"\s*(\d{1,10})[ \t]+(\d{1,5})[ \t]+([nf])")
 _INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate")
 DEPTH = 64
+#: Rows that are handed on at a time.
+BATCH = 256
+
+
+def _items(value) -> list:
+    return value if isinstance(value, list) else []
 
 
 class Document:
@@ -191,9 +198,18 @@ class Document:
 
     def decoded(self, stream: Stream) -> bytes:
         names, parameters = (self.deref(stream.entries.get(k)) for k in ("Filter", "DecodeParms"))
-        names = [names] if isinstance(names, Name) else [self.deref(x) for x in names or []]
+        names = [names] if isinstance(names, Name) else [self.deref(x) for x in _items(names)]
         parameters = [self.deref(x) for x in parameters] if isinstance(parameters, list) else [parameters]
-        return decode(stream.data, names, parameters)
+        try:
+            return decode(stream.data, names, [x if isinstance(x, dict) else None for x in parameters])
+        except FilterError:
+            raise
+        except Exception as e:  # parameters of the wrong kind, say
+            raise FilterError(f"damaged stream: {type(e).__name__}") from e
+
+    def items(self, value) -> list:
+        """The elements of an array; none if it is something else."""
+        return _items(self.deref(value))
 
     # pages
 
@@ -210,12 +226,13 @@ class Document:
             if isinstance(entries, dict):
                 own = inherited | {k: entries[k] for k in _INHERITED if k in entries}
                 if entries.get("Type") == "Pages":
-                    for kid in self.deref(entries.get("Kids")) or []:
+                    for kid in self.items(entries.get("Kids")):
                         yield from walk(kid, own, depth + 1)
                 elif entries.get("Type") == "Page":
                     yield node.number if isinstance(node, Ref) else -1, entries | own
 
-        yield from walk((self.get(self.trailer, "Root") or {}).get("Pages"), {}, 0)
+        root = self.get(self.trailer, "Root")
+        yield from walk(root.get("Pages") if isinstance(root, dict) else None, {}, 0)
 
     def contents(self, page: dict) -> bytes:
         value = self.deref(page.get("Contents"))
@@ -223,7 +240,8 @@ class Document:
         return b"".join(self.decoded(s) for s in streams if isinstance(s, Stream))
 
     def info(self) -> dict[str, str | None]:
-        found = self.get(self.trailer, "Info") or {}
+        found = self.get(self.trailer, "Info")
+        found = found if isinstance(found, dict) else {}
         return {k: text(v) if isinstance(v := self.deref(found.get(k)), bytes) else None for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")}
 
 
@@ -260,23 +278,44 @@ def _object_rows(doc: Document) -> Iterator[tuple]:
 
 def _page_rows(doc: Document) -> Iterator[tuple]:
     for i, (number, page) in enumerate(doc.pages()):
-        box = doc.deref(page.get("MediaBox"))
-        box = [float(doc.deref(x)) for x in box] if isinstance(box, list) and len(box) == 4 else [0.0, 0.0, 595.0, 842.0]
+        box = [doc.deref(x) for x in doc.items(page.get("MediaBox"))]
+        box = [float(x) for x in box] if len(box) == 4 and all(isinstance(x, int | float) for x in box) else [0.0, 0.0, 595.0, 842.0]
+        turn = doc.deref(page.get("Rotate"))
         try:
             content, status = (b"", "password required") if doc.locked else (doc.contents(page), None)
         except FilterError as e:
             content, status = b"", str(e)
-        yield i + 1, number, box, int(doc.deref(page.get("Rotate")) or 0) % 360, content, status
+        yield i + 1, number, box, int(turn) % 360 if isinstance(turn, int | float) else 0, content, status
 
 
 def _document_rows(doc: Document) -> Iterator[tuple]:
     info = doc.info()
     mask = doc.get(doc.trailer, "Encrypt", "P")
-    mask = int(mask) if isinstance(mask, int | float) else None
+    mask = int(mask) if isinstance(mask, int) and -(1 << 31) <= mask < 1 << 31 else None
     yield doc.version, "Encrypt" in doc.trailer, doc.locked, mask, bool(doc.security and doc.security.is_owner), doc.recovered, sum(1 for _ in doc.pages()), info["Title"], info["Author"], info["CreationDate"]
 
 
+def _file_rows(doc: Document) -> Iterator[tuple]:
+    """One row: ok, recovered (the cross references were rebuilt), damaged (a page's content can't be read), empty or password required."""
+    n, broken = 0, None
+    if doc.locked:
+        yield "password required", None, None, doc.recovered
+        return
+    for _, page in doc.pages():
+        n += 1
+        try:
+            doc.contents(page)
+        except FilterError as e:
+            broken = broken or f"page {n}: {e}"
+    yield "damaged" if broken else "empty" if not n else "recovered" if doc.recovered else "ok", n, broken, doc.recovered
+
+
+def _failed(error: Exception) -> tuple:
+    return "unreadable", None, str(error) or type(error).__name__, None
+
+
 _KINDS = {
+    "files": (_file_rows, "status string, n_pages int, error string, is_recovered boolean"),
     "objects": (_object_rows, "num int, is_compressed boolean, value string, stream binary"),
     "pages": (_page_rows, "page_no int, num int, media_box array<double>, rotate int, content binary, status string"),
     "documents": (_document_rows, "pdf_version string, is_encrypted boolean, is_locked boolean, permissions int, is_owner boolean, is_recovered boolean, n_pages int, title string, author string, created string"),
@@ -285,13 +324,22 @@ _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolea
 
 
 def read(files: DataFrame, kind: str, password: str = "") -> DataFrame:
-    """Rows of a kind of files(path, content), opened with a password; a file that is no PDF gives no rows."""
+    """Rows of a kind of files(path, content), opened with a password; a file that is no PDF gives no rows but in the kind ``files``, which has one for each."""
     rows, ddl = _KINDS[kind]
-    return scan(files, rows, ddl, password)
+    return scan(files, rows, ddl, password, _failed if kind == "files" else None)
+
+
+def file_rows(content: bytes, rows, password: str = "", failed=None) -> Iterator[tuple]:
+    """The rows of one file, up to where it can't be read further; failed(error), if it is given, makes a last row then."""
+    try:
+        yield from rows(Document(content, password.encode("utf-8")))
+    except Exception as e:  # whatever a damaged file leads to concerns this file alone
+        if failed:
+            yield failed(e)
 
 
-def scan(files: DataFrame, rows, ddl: str, password: str = "") -> DataFrame:
-    """One row for each tuple that rows(document) yields, after the file's path."""
+def scan(files: DataFrame, rows, ddl: str, password: str = "", failed=None) -> DataFrame:
+    """One row for each tuple that rows(document) yields, after the file's path; handed on in batches of bounded length."""
     ship(files.sparkSession)
     fields = [x.split(" ") for x in ddl.split(", ")]
     names, types = ["path", *(n for n, _ in fields)], [pa.string(), *(_ARROW[t] for _, t in fields)]
@@ -299,11 +347,9 @@ def scan(files: DataFrame, rows, ddl: str, password: str = "") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    found = [(path, *r) for r in rows(Document(content.as_py() or b"", password.encode("utf-8")))]
-                except (ValueError, RecursionError):
-                    found = []
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names)
+                found = file_rows(content.as_py() or b"", rows, password, failed)
+                while part := [(path, *r) for r in islice(found, BATCH)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], names)
 
     return files.select("path", "content").mapInArrow(run, f"path string, {ddl}")
 
