@@ -333,8 +333,8 @@ _ACTIONS: dict[str, Callable[[Machine], None]] = {
 }
 
 
-def encode(values: Sequence[float | str]) -> bytes:
-    """A program of numbers and operator names; numbers beyond 1131 are in Type 2's form."""
+def encode(values: Sequence[float | str], kind: int = 2) -> bytes:
+    """A program of numbers and operator names; numbers beyond 1131 are in the form of the program's kind."""
     numbers = {v: k for k, v in OPERATORS.items()}
     out = bytearray()
     for v in values:
@@ -345,6 +345,8 @@ def encode(values: Sequence[float | str]) -> bytes:
             out.append(int(v) + 139)
         elif v == int(v) and 108 <= abs(v) <= 1131:
             out += bytes([(247 if v > 0 else 251) + (int(abs(v)) - 108 >> 8), int(abs(v)) - 108 & 255])
+        elif kind == 1:
+            out += b"\xff" + int(v).to_bytes(4, "big", signed=True)
         elif v == int(v) and -32768 <= v < 32768:
             out += b"\x1c" + int(v).to_bytes(2, "big", signed=True)
         else:
