@@ -103,14 +103,14 @@ def outlines(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, op string, shown string")
 
 
-def _sql() -> str:
-    def text(outline: str) -> str:
-        parts = []
-        for i, part in enumerate(outline.replace("}", "{").split("{")):
-            parts.append(f"({part})" if i % 2 else f"'{part}'")
-        return "concat(" + ", ".join(p for p in parts if p != "''") + ")"
+def template_sql(outline: str) -> str:
+    """SQL for a text in which {..} is SQL."""
+    parts = [f"({part})" if i % 2 else f"'{part}'" for i, part in enumerate(outline.replace("}", "{").split("{"))]
+    return "concat(" + ", ".join(p for p in parts if p != "''") + ")"
+
 
-    each = " UNION ALL ".join(f"SELECT key, '{op}' AS op, {text(outline)} AS shown FROM k" for op, (_, _, outline) in CASES.items())
+def _sql() -> str:
+    each = " UNION ALL ".join(f"SELECT key, '{op}' AS op, {template_sql(outline)} AS shown FROM k" for op, (_, _, outline) in CASES.items())
     return f"WITH k AS (SELECT CAST(p_partkey AS BIGINT) AS key, CAST(p_size AS BIGINT) AS a, CAST(p_partkey % 97 + 1 AS BIGINT) AS b FROM part) {each}"
 
 
