@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges with fewer codes than this are expanded to an equi-join; longer ones are joined by buckets.
-EXPAND_BELOW = 100
+EXPAND_BELOW, EXPAND_BLOCK = 100, 4096
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -73,9 +74,23 @@ def range_lookup(df: DataFrame, code: str, ranges: DataFrame, low: str, high: st
     return df.withColumn("_bucket", F.floor(F.col(code) / bucket)).join(spread, "_bucket").where(F.col(code).between(F.col(low), F.col(high))).drop("_bucket")
 
 
-def expand_ranges(ranges: DataFrame, low: str, high: str, name: str, below: int = EXPAND_BELOW) -> DataFrame:
-    """A row for each code of the ranges shorter than ``below``."""
-    return ranges.where(F.col(high) - F.col(low) < below).withColumn(name, F.explode(F.sequence(low, high)))
+def expand_ranges(ranges: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """A row for each code of every range, its ends included; a range whose ends are swapped or null has none.
+
+    Codes are made row by row where the range lies, so a long range is never held as an array of more than a block.
+    """
+    block = F.lit(EXPAND_BLOCK)
+    starts = F.when(F.col(low) <= F.col(high), F.sequence(F.lit(0).cast("long"), F.floor((F.col(high) - F.col(low)) / block).cast("long")))
+    spread = ranges.withColumn("_block", F.explode(starts))
+    first = F.col(low) + F.col("_block") * block
+    codes = F.sequence(first.cast("long"), F.least(F.col(high), first + block - 1).cast("long"))
+    return spread.withColumn(name, F.explode(codes)).drop("_block")
+
+
+def short_and_long(ranges: DataFrame, low: str, high: str, below: int = EXPAND_BELOW) -> tuple[DataFrame, DataFrame]:
+    """The ranges to expand into codes and those to keep as ranges (see range_lookup), by their number of codes."""
+    short = F.col(high) - F.col(low) < below
+    return ranges.where(short), ranges.where(~short)
 
 
 def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], value: Column, name: str) -> DataFrame:
@@ -91,19 +106,40 @@ def stack_depth(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     return summed.withColumn(name, F.col("_sum") - F.least(F.min("_sum").over(w), F.lit(0))).drop("_sum")
 
 
-def flatten_tree(nodes: DataFrame, inherited: Sequence[str], depth: int = 32) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """A round's rows, computed once: checkpointed where the session has a checkpoint folder, persisted elsewhere."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
+
+
+def flatten_tree(nodes: DataFrame, inherited: Sequence[str], depth: int | None = None) -> DataFrame:
     """Depth-first rows of a forest nodes(id, parent, ordinal, ...) with attributes inherited from the nearest ancestor that sets them.
 
-    One join per level; ``path`` (ordinals from the root) orders the result. A cycle ends at ``depth``.
+    ``path`` (ordinals from the root) orders the result. One join per level, down to the last one (or to ``depth`` levels, if
+    it is given), each with the level before only. Only what hangs from a root (a null parent) is reached; a node that is its own
+    ancestor ends there.
     """
-    columns = [F.col("id"), *(F.col(c) for c in inherited)]
-    level = nodes.where("parent is null").select(*columns, F.array("ordinal").alias("path"))
-    out, n = level, 1
-    while n < depth:
-        child = nodes.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), "ordinal", *(F.col(c).alias(f"_{c}") for c in inherited))
-        level = level.join(child, F.col("id") == F.col("_parent"))
-        level = level.select(F.col("_id").alias("id"), *(F.coalesce(f"_{c}", c).alias(c) for c in inherited), F.array_append("path", F.col("ordinal")).alias("path"))
+    child = nodes.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), "ordinal", *(F.col(c).alias(f"_{c}") for c in inherited))
+    level = _kept(nodes.where("parent is null").select("id", *inherited, F.array("ordinal").alias("path"), F.array("id").alias("_line")))
+    levels = [level]
+    while depth is None or len(levels) < depth:
+        met = level.join(child, F.col("id") == F.col("_parent")).where(~F.array_contains("_line", F.col("_id")))
+        own = [F.coalesce(f"_{c}", c).alias(c) for c in inherited]
+        level = _kept(met.select(F.col("_id").alias("id"), *own, F.array_append("path", F.col("ordinal")).alias("path"), F.array_append("_line", F.col("_id")).alias("_line")))
         if level.isEmpty():
             break
-        out, n = out.unionByName(level), n + 1
-    return out
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).drop("_line")
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node, depth): the nodes that starts(start) lead to over edges(a, b), each with its least number of steps.
+
+    A breadth-first walk with a visited set: each round joins the last round's new nodes only, and leaves out those that
+    are known, so that cycles end.
+    """
+    known = fresh = _kept(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    while not fresh.isEmpty():
+        step = fresh.join(edges, F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+        fresh = _kept(step.join(known.select("start", "node"), ["start", "node"], "left_anti"))
+        known = _kept(known.unionByName(fresh))
+    return known

@@ -280,10 +280,10 @@ def q_clip_interpolate(read: Read) -> DataFrame:
     return read("customer").select("c_custkey", _micro(calc.clip([bal], (-100, 5000))[0]).alias("clipped"), _micro(calc.interpolate(bal, -1000, 10000, 10, 100)).alias("mapped"))
 
 
-@_query("SELECT p_partkey, CAST((p_size + 7) >> 3 AS INTEGER) AS size_bytes, CAST(floor(log2(p_partkey)) AS INTEGER) AS log2, CAST(floor((p_size - 25) / 4.0) AS INTEGER) AS quotient FROM part WHERE p_partkey > 0")
+@_query("SELECT p_partkey, CAST((p_size + 7) >> 3 AS INTEGER) AS size_bytes, CAST(floor(log2(p_partkey)) AS INTEGER) AS log2, CAST(floor((p_size - 25) / 4.0) AS INTEGER) AS quotient FROM (SELECT * REPLACE (p_partkey + 1 AS p_partkey) FROM part)")
 def q_integer_helpers(read: Read) -> DataFrame:
     size = F.col("p_size")
-    return read("part").where("p_partkey > 0").select("p_partkey", calc.bits_to_bytes(size).alias("size_bytes"), calc.int_log2(F.col("p_partkey")).alias("log2"), calc.floor_div(size - 25, F.lit(4)).alias("quotient"))
+    return read("part").withColumn("p_partkey", F.col("p_partkey") + 1).select("p_partkey", calc.bits_to_bytes(size).alias("size_bytes"), calc.int_log2(F.col("p_partkey")).alias("log2"), calc.floor_div(size - 25, F.lit(4)).alias("quotient"))
 
 
 # geometry ----------------------------------------------------------------------------------------
@@ -329,7 +329,17 @@ def q_bezier_point(read: Read) -> DataFrame:
 # strings, dates, flags ---------------------------------------------------------------------------
 
 
-@_query()
+#: The remainders of a byte's eight shifts are folded out: the reflected polynomial, bit by bit.
+_CRC_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+
+def _crc_byte(c: str) -> str:
+    for _ in range(8):
+        c = f"list_transform([{c}], lambda c: {_CRC_BIT})[1]"
+    return c
+
+
+@_query(f"SELECT p_partkey, xor(4294967295, list_reduce(list_transform(string_split(p_name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: {_crc_byte('xor(c, b)')}, CAST(4294967295 AS BIGINT))) AS crc FROM part")
 def q_crc32(read: Read) -> DataFrame:
     return read("part").select("p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("crc"))
 
@@ -359,9 +369,9 @@ def q_bom_decode(read: Read) -> DataFrame:
     return read("documents").select("doc_id", strings.decode_text(raw("FEFF", "UTF-16BE")).alias("utf16"), strings.decode_text(raw("EFBBBF", "UTF-8")).alias("utf8"))
 
 
-@_query("SELECT doc_id, substr(text, 1, 40) || chr(65533) || 'x-y' || chr(10) AS clean FROM documents")
+@_query("SELECT doc_id, replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', chr(65533), 'g'), chr(173), '-') || chr(65533) || 'x-y' || chr(10) AS clean FROM documents")
 def q_invalid_chars(read: Read) -> DataFrame:
-    return read("documents").select("doc_id", strings.replace_invalid(F.concat(F.substring("text", 1, 40), F.lit("\u0007x­y\n"))).alias("clean"))
+    return read("documents").select("doc_id", strings.replace_invalid(F.concat("text", F.lit("\u0007x­y\n"))).alias("clean"))
 
 
 @_query("SELECT doc_id, doc_id % 3 = 0 AS rtl, doc_id % 5 = 0 AS control FROM documents")
@@ -486,9 +496,11 @@ def q_concat_ordered(read: Read) -> DataFrame:
     return a.unionByName(read("customer").select(F.lit(1).alias("part"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name")))
 
 
-@_query("SELECT l_orderkey, code, count(*) AS n FROM (SELECT l_orderkey, unnest(range(l_linenumber, l_linenumber + 3)) AS code FROM lineitem) GROUP BY 1, 2")
+@_query("SELECT l_orderkey, code, count(*) AS n FROM (SELECT l_orderkey, unnest(range(l_linenumber, l_linenumber + 3)) AS code FROM lineitem UNION ALL SELECT p_partkey, unnest(range(p_partkey, p_partkey + 5 * p_size)) FROM part) GROUP BY 1, 2")
 def q_flat_map_ranges(read: Read) -> DataFrame:
     ranges = read("lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("low"), (F.col("l_linenumber") + 2).cast("long").alias("high"))
+    part = F.col("p_partkey").cast("long")
+    ranges = ranges.unionByName(read("part").select(F.col("p_partkey").alias("l_orderkey"), part.alias("low"), (part + 5 * F.col("p_size") - 1).alias("high")))
     return rel.expand_ranges(ranges, "low", "high", "code").groupBy("l_orderkey", "code").agg(F.count("*").alias("n"))
 
 
@@ -547,13 +559,16 @@ def q_tree_inherit(read: Read) -> DataFrame:
 
 
 @_query(
-    "WITH RECURSIVE walk(start, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION ALL SELECT start, (node * 7 + 3) % 25, depth + 1 FROM walk WHERE depth < 10) "
-    "SELECT CAST(start AS INTEGER) AS start, CAST(node AS INTEGER) AS node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2"
+    "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_linenumber = 1), "
+    "walk(start, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT start, b, depth + 1 FROM walk JOIN e ON node = a WHERE depth < 25) "
+    "SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2"
 )
 def q_traverse_depth(read: Read) -> DataFrame:
-    walk = F.expr("aggregate(sequence(1, 10), array(n_nationkey), (a, i) -> array_append(a, (element_at(a, -1) * 7 + 3) % 25))")
-    steps = read("nation").select(F.col("n_nationkey").alias("start"), F.posexplode(walk).alias("depth", "node"))
-    return steps.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+    """Which nations buy from which over how many steps, by a breadth-first walk over a graph with cycles."""
+    sold = read("lineitem").where("l_quantity >= 50 and l_linenumber = 1").join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    bought = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    edges = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
+    return rel.reachable(edges, read("nation").select(F.col("n_nationkey").alias("start")))
 
 
 @_query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS state FROM events")

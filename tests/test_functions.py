@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docframe.functions import calculator as calc
-from docframe.functions import geometry, strings
+from docframe.functions import geometry, scalar, strings
 from docframe.operators import relational as rel
 
 
@@ -70,3 +70,53 @@ def test_tree_with_cycle_ends(spark):
 
 def test_stable_id_is_seven_characters(spark):
     assert len(value(spark, strings.stable_id("cl", F.lit("abc")))[0]) == 7
+
+
+def test_deep_trees_and_limits(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 0, "x" if i == 3 else None) for i in range(12)], "id int, parent int, ordinal int, box string")
+    assert {r.id: r.box for r in rel.flatten_tree(nodes, ("box",)).collect()} == {i: "x" if i >= 3 else None for i in range(12)}
+    assert rel.flatten_tree(nodes, ("box",), depth=5).count() == 5
+
+
+def test_ranges_of_any_length(spark):
+    rows = spark.createDataFrame([(1, 5, 5), (2, 0, 9999), (3, 7, 6), (4, None, 3), (5, -4, 120)], "k int, a long, b long")
+    found = {r.k: (r.n, r.lo, r.hi) for r in rel.expand_ranges(rows, "a", "b", "c").groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).collect()}
+    assert found == {1: (1, 5, 5), 2: (10000, 0, 9999), 5: (125, -4, 120)}
+    short, long = rel.short_and_long(rows, "a", "b")
+    assert [r.k for r in short.orderBy("k").collect()] == [1, 3] and [r.k for r in long.orderBy("k").collect()] == [2, 5]
+
+
+def test_reachable_over_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "a int, b int")
+    found = {(r.start, r.node): r.depth for r in rel.reachable(edges, spark.createDataFrame([(1,), (5,)], "start int")).collect()}
+    assert found == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (1, 4): 3, (5, 5): 0}
+
+
+PROGRAMS = "add sub mul div idiv mod atan exp eq ne gt ge lt le".split(), "neg abs ceiling floor round truncate sqrt sin cos ln log cvi cvr".split(), "and or xor bitshift".split()
+
+
+def test_both_forms_of_the_calculator_agree(spark):
+    """Operand by operand: the column form on literals, the scalar form on the same numbers."""
+    numbers = [0, 1, -1, 2, 7, -7, 0.5, 2.5, -2.5, 3.5, 1e-3, 90, 30.25]
+    programs = [f"{a} {op}" for a in numbers for op in PROGRAMS[1]]
+    programs += [f"{a} {b} {op}" for a in numbers for b in numbers for op in PROGRAMS[0] if not (op in ("idiv", "mod") and abs(b) < 1)]
+    programs += [f"{a} {b} {op}" for a in (0, 1, -1, 5, 12) for b in (0, 3, -2, 31) for op in PROGRAMS[2]] + [f"{a} {b} {op}" for a in ("true", "false") for b in ("true", "false") for op in PROGRAMS[2][:3]]
+    columns = [calc.run(p, [])[0].column.cast("double") for p in programs]
+    found = []
+    for i in range(0, len(columns), 400):
+        found += list(spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate(columns[i : i + 400]))).first())
+    wrong = []
+    for program, column in zip(programs, found):
+        stack = []
+        scalar._execute([x if not isinstance(x, str) else x for x in _words(program)], stack)
+        own = float(stack[0])
+        if not (own == column or math.isnan(own) and math.isnan(column) or math.isclose(own, column, rel_tol=1e-12, abs_tol=1e-15)):
+            wrong.append((program, own, column))
+    assert not wrong
+
+
+def _words(program):
+    out = []
+    for w in program.split():
+        out.append({"true": True, "false": False}[w] if w in ("true", "false") else w if w.isalpha() else float(w) if "." in w or "e" in w else int(w))
+    return out
