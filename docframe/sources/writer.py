@@ -6,7 +6,7 @@ import hashlib
 import re
 import zlib
 
-from . import security
+from . import encoders, security
 from .syntax import Name, Ref, Stream
 
 
@@ -64,8 +64,47 @@ def unicode_map(text: str) -> tuple[dict[str, int], bytes]:
     return codes, program.encode("ascii")
 
 
+def write_compressed(objects: dict[int, object], root: int = 1) -> bytes:
+    """The same objects with all but streams in one object stream, and a cross-reference stream with a predictor."""
+    inner = {n: v for n, v in sorted(objects.items()) if not isinstance(v, Stream)}
+    holder, table = max(objects) + 1, max(objects) + 2
+    head, body = b"", b""
+    for n, v in inner.items():
+        head += b"%d %d " % (n, len(body))
+        body += serialize(v) + b" "
+    outer = {n: v for n, v in objects.items() if isinstance(v, Stream)}
+    outer[holder] = flate({"Type": Name("ObjStm"), "N": len(inner), "First": len(head)}, head + body)
+    out, rows = bytearray(b"%PDF-1.5\n"), {n: (2, holder, i) for i, n in enumerate(inner)}
+    for n, v in sorted(outer.items()):
+        rows[n] = (1, len(out), 0)
+        out += b"%d 0 obj\n" % n + serialize(v) + b"\nendobj\n"
+    start = rows_at = len(out)
+    rows[table] = (1, rows_at, 0)
+    plain = b"".join(bytes([k]) + a.to_bytes(4, "big") + i.to_bytes(2, "big") for k, a, i in (rows.get(n, (0, 0, 0)) for n in range(table + 1)))
+    entries = {"Type": Name("XRef"), "W": [1, 4, 2], "Size": table + 1, "Root": Ref(root, 0), "DecodeParms": {"Predictor": 12, "Columns": 7}}
+    out += b"%d 0 obj\n" % table + serialize(flate(entries, encoders.png_predicted(plain, 7, kinds=(2,)))) + b"\nendobj\n"
+    return bytes(out + b"startxref\n%d\n%%%%EOF" % start)
+
+
+def update(data: bytes, objects: dict[int, object], root: int = 1) -> bytes:
+    """A file with newer objects after its end, whose cross references lead back to the older ones."""
+    before = int(re.findall(rb"startxref\s+(\d+)", data)[-1])
+    out, at = bytearray(data + b"\n"), {}
+    for n, value in sorted(objects.items()):
+        at[n] = len(out)
+        out += b"%d 0 obj\n" % n + serialize(value) + b"\nendobj\n"
+    start = len(out)
+    out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, o) for n, o in at.items())
+    return bytes(out + b"trailer\n" + serialize({"Root": Ref(root, 0), "Size": max(objects) + 1, "Prev": before}) + b"\nstartxref\n%d\n%%%%EOF" % start)
+
+
 def text_file(text: str, lines_per_page: int = 50, encrypt: str | None = None, user_password: bytes = b"") -> bytes:
     """A text as pages of one shown string a line (split at \\n), in a two-byte font with a ToUnicode map."""
+    return write(text_objects(text, lines_per_page), encrypt=encrypt, user_password=user_password)
+
+
+def text_objects(text: str, lines_per_page: int = 50) -> dict[int, object]:
+    """The objects of text_file()."""
     lines = text.split("\n")
     codes, program = unicode_map(text.replace("\n", ""))
     shown = [b"<" + b"".join(b"%04X" % codes[c] for c in line) + b"> Tj T*" for line in lines]
@@ -79,4 +118,4 @@ def text_file(text: str, lines_per_page: int = 50, encrypt: str | None = None, u
     for i, chunk in enumerate(chunks):
         objects[5 + 2 * i] = {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(6 + 2 * i, 0)}
         objects[6 + 2 * i] = flate({}, b"BT /F1 10 Tf 12 TL 1 0 0 1 40 800 Tm\n" + b"\n".join(chunk) + b"\nET")
-    return write(objects, encrypt=encrypt, user_password=user_password)
+    return objects

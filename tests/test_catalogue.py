@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from docframe.plans import catalogue, files, glyphs, painting  # noqa: F401  (they register their queries)
+from docframe.plans import catalogue, codecs, files, glyphs, painting  # noqa: F401  (they register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
