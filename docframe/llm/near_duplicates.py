@@ -39,8 +39,8 @@ from .components import connected_components
 COORDINATES, MISSED = 240, 1e-5
 #: Members of a bucket or of a centre that one task compares at a time.
 BLOCK = 128
-#: Members of a bucket whose signatures one task holds against each other at a time.
-PART = 256
+#: Members of a bucket whose signatures one task holds against each other at a time, and shingles of theirs (8 bytes each).
+PART, PART_SHINGLES = 256, 1 << 20
 _SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
 
 
@@ -256,9 +256,12 @@ def _apart(members: DataFrame, near: DataFrame, sig: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, dealt out in parts: lefts outside of a bucket's core, rights."""
     known = members.join(near, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", "n_shingles", "size", F.coalesce("root", "rep").alias("comp"))
     # the largest component of a bucket is its core; only members outside of it are held against the others
-    each = known.groupBy("band", "bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("band", "bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("core"), F.sum("n").alias("n_right"), (F.sum("n") - F.max("n")).alias("n_left"))
-    parts = [F.ceil(F.col(c) / F.lit(float(PART))).cast("int").alias(c) for c in ("n_left", "n_right")]
+    each = known.groupBy("band", "bucket", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    rank = F.struct("n", -F.col("comp"))
+    sides = [F.sum("n").alias("n_right"), F.sum("s").alias("s_right"), (F.sum("n") - F.max("n")).alias("n_left"), (F.sum("s") - F.max_by("s", rank)).alias("s_left")]
+    mixed = each.groupBy("band", "bucket").agg(F.max_by("comp", rank).alias("core"), *sides)
+    # as many parts as the members or their shingles ask for, but no more than members
+    parts = [F.least(F.col(f"n_{x}"), F.ceil(F.greatest(F.col(f"n_{x}") / F.lit(float(PART)), F.col(f"s_{x}") / F.lit(float(PART_SHINGLES))))).cast("int").alias(f"n_{x}") for x in ("left", "right")]
     mixed = mixed.where("n_left > 0").select("band", "bucket", "core", *parts)
     every = _spark.materialize(known.join(mixed, ["band", "bucket"]), "mixed")
     at = {c: F.pmod(F.xxhash64("rep"), c).cast("int") for c in ("n_left", "n_right")}
@@ -316,7 +319,8 @@ def _classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     pairs = members.join(centres, ["band", "bucket"]).where("rep <> centre.rep")
     pairs = pairs.where(f"100 * least(n_shingles, centre.n_shingles) >= {percent} * greatest(n_shingles, centre.n_shingles)")
     pairs = pairs.select(F.col("centre.rep").alias("c"), F.col("rep").alias("a")).distinct()
-    links = _verified(docs, _spark.materialize(pairs, "pairs"), words, percent)
+    pairs = _spark.materialize(pairs, "pairs")
+    links = _verified(docs, pairs, words, percent)
 
     near = _spark.materialize(connected_components(links), "components")
     similarity = percent / 100
@@ -325,9 +329,11 @@ def _classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     parts = hopeful.join(_texts(docs, hopeful.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep")
     parts = parts.select(*_BLOCK, *_MEMBER, "text").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
     more = parts.mapInArrow(partial(_linked_in_parts, agree=agree, words=words, percent=percent), "a long, b long")
-    links = links.unionByName(_spark.materialize(more, "links"))
+    more = _spark.materialize(more, "links")
 
-    roots = _spark.materialize(connected_components(links), "components")
+    roots = _spark.materialize(connected_components(links.unionByName(more)), "components")
+    for used in (members, pairs, links, more, near, hopeful):
+        _spark.drop(used)
     merged = classes.select("k1", "k2", "n_shingles", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left")
     merged = merged.where("copies > 1 or root is not null").select("k1", "k2", "n_shingles", F.coalesce("root", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(merged, ["k1", "k2", "n_shingles"], "left")
