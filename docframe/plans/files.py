@@ -86,13 +86,18 @@ def q_pdf_info(read: Read) -> DataFrame:
     return found.select(F.col("path").cast("long").alias("c_custkey"), "title", "author", "pdf_version", "n_pages")
 
 
-@_query("SELECT p_partkey, 1 AS page_no, CAST(2 AS BIGINT) AS n_paths, '1000' AS width FROM part")
+@_query("""
+    SELECT p_partkey, 1 AS page_no, '1000' AS width, [concat('M105 ', 890, ' L', 105 + w, ' 890 L', 105 + w, ' ', 890 - h, ' L105 ', 890 - h, ' Z'), concat('M0 1000 L', 2 * w, ' ', 1000 - 2 * h)]::VARCHAR AS paths,
+           printf('#%02x0000', CAST(floor(w % 5 / 4.0 * 255) AS INT)) AS fill
+    FROM (SELECT p_partkey, CAST(p_size AS INT) AS w, CAST(p_partkey % 50 AS INT) AS h FROM part)""")
 def q_pdf_svg(read: Read) -> DataFrame:
-    """Pages as SVG: number of paths and the width, taken from the XML."""
-    rows = _spread(read("part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_size").alias("w"), F.lit(3).alias("h"), F.lit(0.5).alias("shade")))
+    """Pages as SVG: width, path data and colours, taken from the XML."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    rows = _spread(read("part").select(key.cast("string").alias("path"), (size * 2).alias("w"), (key % 50 * 2).alias("h"), ((size % 5) / 4.0).alias("shade")))
     pages = parts.read(pack.pack(rows, pack.drawing_file), "svg")
-    n = F.size(F.split("svg", "<path ")) - 1
-    return pages.select(F.col("path").cast("long").alias("p_partkey"), "page_no", n.cast("long").alias("n_paths"), F.regexp_extract("svg", 'width="([^"]*)"', 1).alias("width"))
+    listed = F.concat(F.lit("["), F.array_join(F.regexp_extract_all("svg", F.lit(' d="([^"]*)"'), F.lit(1)), ", "), F.lit("]"))
+    drawn = F.regexp_extract("svg", ' fill="(#[^"]*)"', 1)
+    return pages.select(F.col("path").cast("long").alias("p_partkey"), "page_no", F.regexp_extract("svg", 'width="([^"]*)"', 1).alias("width"), listed.alias("paths"), drawn.alias("fill"))
 
 
 @_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS k_real, -1 AS missing FROM events")
