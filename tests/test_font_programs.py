@@ -1,12 +1,14 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docframe.functions.charstrings import OPERATORS, CharStringError, Machine, encode
-from docframe.sources import parts, programs, writer
+from docframe.functions.charstrings import OPERATORS, CharStringError, Glyph, Machine, encode
+from docframe.operators import svg
+from docframe.sources import fonts, parts, pdf, programs, webfonts, writer
 from docframe.sources.syntax import Name, Ref, Stream
 
 
@@ -160,3 +162,36 @@ def test_glyph_rows(spark):
         4: Stream({}, type1_file()), 5: Stream({}, cff_file()), 6: Stream({}, truetype_file()), 7: Stream({}, b"broken")}
     files = spark.createDataFrame([("a", bytearray(writer.write(objects)))], "path string, content binary")
     assert parts.read(files, "glyphs").count() == 3 + 2 + 3
+
+
+def test_fonts_built_from_outlines():
+    rng = np.random.default_rng(1)
+    glyphs = [(".notdef", Glyph(500.0))]
+    for i in range(300):
+        points = rng.integers(-2000, 2000, (6, 2)).tolist()
+        p = [tuple(map(float, x)) for x in points]
+        glyphs.append((f"n{i}", Glyph(float(rng.integers(0, 2000)), [("M", (p[0],)), ("L", (p[1],)), ("C", (p[2], p[3], p[4])), ("Z", ()), ("M", (p[5],)), ("Z", ())])))
+    codes = {65 + i: i + 1 for i in range(300)}
+    for units in (1000, 2048):
+        data = webfonts.open_type("Made Up", glyphs, codes, units)
+        found = programs.truetype(data)
+        assert (found.units, found.count, found.codes, found.names[1:]) == (units, 301, codes, [n for n, _ in glyphs[1:]])
+        assert [(g.width, g.path()) for _, _, g in found.glyphs()] == [(g.width, g.path()) for _, g in glyphs]
+        t = programs.tables(data)
+        assert [len(t[k]) for k in ("head", "hhea", "OS/2", "post", "maxp")] == [54, 36, 96, 32, 6] and "Made Up".encode("utf-16-be") in t["name"]
+        assert programs._checksum(data) == 0xB1B0AFBA
+
+
+def test_svg_with_embedded_fonts():
+    objects = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [Ref(3, 0)], "MediaBox": [0, 0, 99, 99]},
+        3: {"Type": Name("Page"), "Contents": Ref(4, 0), "Resources": {"Font": {n: {"Type": Name("Font"), "Subtype": Name("TrueType"), "BaseFont": Name(n), "Encoding": Name("WinAnsiEncoding"), "FontDescriptor": {"FontFile2": Ref(r, 0)}} for n, r in (("A", 5), ("B", 6))}}},
+        4: Stream({}, b"BT /A 9 Tf (AB) Tj (B) Tj (Az) Tj /B 9 Tf (A) Tj ET"), 5: Stream({}, truetype_file()), 6: Stream({}, b"broken")}
+    doc = pdf.Document(writer.write(objects))
+    page = next(doc.pages())[1]
+    plain = svg.svg(doc, page)
+    assert "@font-face" not in plain and plain.count("sans-serif") == 1
+    found = svg.svg(doc, page, embed_fonts=True)
+    assert found.count("@font-face") == 1 and found.count('font-family="f1"') == 1 and ">AB</text>" in found and found.count("sans-serif") == 1
+    asked = []
+    assert "src:url(fonts/a.woff)" in svg.svg(doc, page, font_url=lambda kind, data: asked.append((kind, data)) or "fonts/a.woff") and asked[0][0] == "font/woff" and asked[0][1][:4] == b"wOFF"
+    assert webfonts.WebFont(None, programs.truetype(truetype_file()), "f").text([fonts.Char(7, 1, 1, "fi", 1, False), fonts.Char(8, 1, 2, "xy", 1, False), fonts.Char(9, 1, 0, "\ufb01", 1, False)]) == "\ufb01\ue000\ue001"
