@@ -5,28 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Font families, weights and styles: the first substring in a list decides (fixed values; families cut to the common ones).
-FONT_FAMILIES = (
-    ("courier", "'Courier New',Courier,monospace"), ("helvetica", "Helvetica,Arial,sans-serif"), ("times", "'Times New Roman',serif"), ("symbol", "Symbol"),
-    ("arialblack", "'Arial Black',Arial,sans-serif"), ("arial", "Arial,sans-serif"), ("calibri", "Calibri,sans-serif"), ("cambria", "Cambria,serif"),
-    ("consolas", "Consolas,monospace"), ("georgia", "Georgia,serif"), ("tahoma", "Tahoma,sans-serif"), ("verdana", "Verdana,sans-serif"),
-    ("sans", "sans-serif"), ("roman", "serif"), ("serif", "serif"), ("book", "serif"), ("source", "monospace"), ("code", "monospace"), ("mono", "monospace"),
-)
-
-
-def _first(name: Column, rules: tuple, default: str) -> Column:
-    out = None
-    for key, value in rules:
-        hit = F.instr(name, key) > 0
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(default)
-
-
-def local_font(name: Column) -> Column:
-    """CSS family of a font name; null names are sans-serif."""
-    return F.coalesce(_first(F.lower(F.regexp_replace(name, "[- ]", "")), FONT_FAMILIES, "sans-serif"), F.lit("sans-serif"))
-
-
 def decode_text(raw: Column) -> Column:
     """Bytes by their mark: UTF-8, UTF-16 (big endian), else Latin text."""
     head = F.hex(F.substring(raw, 1, 3))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calculator as calc
-from ..functions import color, geometry, strings
+from ..functions import color, geometry, localfonts, strings
 from ..operators import relational as rel
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,14 +393,23 @@ def q_perm_bits(read: Read) -> DataFrame:
     return read("lineitem").select(*_KEY, *(v.alias(k) for k, v in out.items()))
 
 
-_NAMES = ["Arial-Bold", "ArialBlack", "Times New Roman", "MyCourier", "Foo Sans", "Bookman", "Plain"]
-_FAMILIES = ["Arial,sans-serif", "'Arial Black',Arial,sans-serif", "'Times New Roman',serif", "'Courier New',Courier,monospace", "sans-serif", "serif", "sans-serif"]
+#: Font names and what they mean: family, weight, style.
+_FONT_NAMES = {
+    "Arial-Bold": ("Arial,sans-serif", 700, None), "ArialBlack": ("'Arial Black',Arial,sans-serif", 900, None), "Times New Roman": ("'Times New Roman',serif", 400, None), "MyCourier": ("'Courier New',Courier,monospace", None, None),
+    "Foo Sans": ("sans-serif", None, None), "Bookman": ("serif", None, None), "Plain": ("sans-serif", None, None), "Helvetica-BoldOblique": ("Helvetica,Arial,sans-serif", 700, "oblique"), "Verdana,Italic": ("Verdana,sans-serif", None, "italic"),
+    "Segoe-Lt": ("'Segoe UI',sans-serif", 300, None), "Cambria-BdIt": ("Cambria,serif", 700, "italic"), "YuGothic-DemiBold": ("'Yu Gothic',sans-serif", 600, None), "Palatino-Roman": ("'Palatino Linotype',Palatino,serif", 400, None),
+    "SourceCodePro-Light": ("monospace", 300, None), "MS Gothic": ("'MS Gothic',sans-serif", None, None), "MicrosoftYaHei": ("'Microsoft YaHei',sans-serif", None, None), "HeiseiMincho": ("serif", None, None), "-It": ("sans-serif", None, None),
+}
+_QUOTED = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
 
-@_query("SELECT p_partkey, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in _FAMILIES) + "][p_size % 7 + 1] AS family FROM part")
+@_query(
+    f"SELECT p_partkey, n.family, CAST(n.weight AS INTEGER) AS weight, n.style FROM part JOIN (VALUES {', '.join('(' + ', '.join(map(_QUOTED, (i, *v))) + ')' for i, v in enumerate(_FONT_NAMES.values()))}) n(i, family, weight, style) ON p_partkey % {len(_FONT_NAMES)} = n.i"
+)
 def q_local_font(read: Read) -> DataFrame:
-    name = F.get(F.array(*map(F.lit, _NAMES)), F.col("p_size") % 7)
-    return read("part").select("p_partkey", strings.local_font(name).alias("family"))
+    name = F.element_at(F.array(*map(F.lit, _FONT_NAMES)), (F.col("p_partkey") % len(_FONT_NAMES) + 1).cast("int"))
+    rows = read("part").select("p_partkey", name.alias("name"))
+    return rows.select("p_partkey", localfonts.family(F.col("name")).alias("family"), localfonts.weight(F.col("name")).alias("weight"), localfonts.style(F.col("name")).alias("style"))
 
 
 @_query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN CAST(p_size // 4 AS VARCHAR) WHEN p_size < 4 THEN ['.25', '.5', '.75'][p_size] ELSE CAST(p_size // 4 AS VARCHAR) || ['.25', '.5', '.75'][p_size % 4] END AS text FROM part")

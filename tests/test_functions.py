@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docframe.functions import calculator as calc
-from docframe.functions import geometry, scalar, strings
+from docframe.functions import geometry, localfonts, scalar, strings
 from docframe.operators import relational as rel
+from docframe.plans import catalogue
 
 
 def value(spark, *columns):
@@ -72,6 +73,14 @@ def test_stable_id_is_seven_characters(spark):
     assert len(value(spark, strings.stable_id("cl", F.lit("abc")))[0]) == 7
 
 
+def test_local_fonts_in_both_forms(spark):
+    names = [*catalogue._FONT_NAMES, "", "a-b,c", "X-Thin Italic", "Ob-ItOb", "Foo,Bd", "Foo-BlIt", "ITALIC", "a" * 30 + "-it"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    n = F.col("n")
+    found = [(r.f, r.w, r.s) for r in rows.select("i", localfonts.family(n).alias("f"), localfonts.weight(n).alias("w"), localfonts.style(n).alias("s")).orderBy("i").collect()]
+    assert found == [localfonts.resolve(x) for x in names] and found[: len(catalogue._FONT_NAMES)] == list(catalogue._FONT_NAMES.values())
+
+
 def test_deep_trees_and_limits(spark):
     nodes = spark.createDataFrame([(i, i - 1 if i else None, 0, "x" if i == 3 else None) for i in range(12)], "id int, parent int, ordinal int, box string")
     assert {r.id: r.box for r in rel.flatten_tree(nodes, ("box",)).collect()} == {i: "x" if i >= 3 else None for i in range(12)}
