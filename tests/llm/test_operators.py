@@ -238,6 +238,22 @@ def licences_in_numpy(text):
     return sorted(families), n_unknown
 
 
+def test_language_does_not_depend_on_the_batch():
+    rng = random.Random(21)
+    model = language_id.ByteGru(["a", "b", "c"])
+    texts = ["".join(rng.choice("abcdefgh äöü.,") for _ in range(rng.randrange(1, 700))) for _ in range(120)]
+    def run(texts, size, chunk):
+        out = {}
+        for lo in range(0, len(texts), size):
+            part = texts[lo : lo + size]
+            batch = pa.record_batch([pa.array(range(len(part)), pa.int64()), pa.array(part), pa.array([True] * len(part))], ["d", "t", "h"])
+            for b in language_id._predict(iter([batch]), model, chunk):
+                out |= {t: (r["lang_pred"], r["score"]) for t, r in zip(part, b.to_pylist())}
+        return out
+    whole = run(texts, 120, 128 << 10)
+    assert whole == run(texts[::-1], 7, 128 << 10) == run(texts, 120, 300)
+
+
 def test_licences(spark):
     gpl, mit, lgpl = notices.NOTICES["GPL"][1], notices.NOTICES["MIT"][8], notices.NOTICES["LGPL"][1]
     texts = {
