@@ -143,23 +143,44 @@ def _sums(data: np.ndarray, offsets: np.ndarray, order: int, keys: np.ndarray, l
 _SCORES = "doc_id long, lang string, held_out boolean, n_bytes long, log_perplexity double"
 
 
-def _scored(batch: pa.RecordBatch, first: int, order: int, keys: np.ndarray, logs: np.ndarray, chunk: int = 2 << 20) -> pa.RecordBatch:
-    doc_id, lang, held_out, text = (batch.column(first + i) for i in range(4))
-    data, offsets = _text.utf8(text)
+_PACKED = "blk long, doc_id long, lang string, held_out boolean, size long, packed binary"
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (blk, doc_id, lang, held_out, text) with the texts compressed, as they are shuffled and read twice."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        data, offsets = _text.utf8(batch.column(4))
+        at = offsets.tolist()
+        packed = [codec.compress(data[a:b], asbytes=True) for a, b in zip(at, at[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], [x.split(" ")[0] for x in _PACKED.split(", ")])
+    _text.release()
+
+
+def _texts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The texts of _PACKED rows in runs of rows lo..hi: bytes and offsets."""
+    codec = pa.Codec("zstd")
+    bounds = np.concatenate([[0], np.cumsum(batch.column(4).to_numpy(zero_copy_only=False))])
+    for lo, hi in _text.blocks(bounds, most):
+        own = batch.column(5).slice(lo, hi - lo).to_pylist()
+        data = b"".join(codec.decompress(x, int(bounds[lo + i + 1] - bounds[lo + i]), asbytes=True) for i, x in enumerate(own))
+        yield lo, hi, np.frombuffer(data, np.uint8), bounds[lo : hi + 1] - bounds[lo]
+
+
+def _scored(batch: pa.RecordBatch, order: int, keys: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
     total = np.zeros(len(batch))
-    for lo, hi in _text.blocks(offsets, chunk):
-        total[lo:hi] = _sums(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order, keys, logs)
-    size = np.diff(offsets)
+    for lo, hi, data, offsets in _texts(batch):
+        total[lo:hi] = _sums(data, offsets, order, keys, logs)
+    size = batch.column(4).to_numpy(zero_copy_only=False)
     mean = pa.array(-total / np.maximum(size, 1), mask=size == 0)
-    return pa.RecordBatch.from_arrays([doc_id, lang, held_out, pa.array(size), mean], ["doc_id", "lang", "held_out", "n_bytes", "log_perplexity"])
+    return pa.RecordBatch.from_arrays([*batch.columns[1:5], mean], ["doc_id", "lang", "held_out", "n_bytes", "log_perplexity"])
 
 
-def _distinct(parts: list[np.ndarray], column: pa.Array, order: int) -> None:
+def _distinct(parts: list[np.ndarray], batch: pa.RecordBatch, order: int) -> None:
     """Adds the sorted distinct n-grams of some texts to parts, which stay few."""
-    data, offsets = _text.utf8(column)
-    for lo, hi in _text.blocks(offsets, 4 << 20):
-        parts.append(np.unique(codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)[0]))
-        if len(parts) > 8:
+    for _, _, data, offsets in _texts(batch):
+        parts.append(np.unique(codes(data, offsets, order)[0]))
+        if len(parts) > 4:
             parts[:] = [np.unique(np.concatenate(parts))]
 
 
@@ -172,7 +193,7 @@ def _sharded(parts: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _requests(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows (blk, ..., text) come by blk: the types of each block, a row for each shard that holds some."""
+    """Rows of _PACKED come by blk: the types of each block, a row for each shard that holds some."""
     block, parts = None, []
 
     def rows() -> pa.RecordBatch:
@@ -188,7 +209,7 @@ def _requests(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Ite
             if blk[lo] != block:
                 yield rows()
                 block, parts[:] = blk[lo], []
-            _distinct(parts, batch.column(4).slice(lo, hi - lo), order)
+            _distinct(parts, batch.slice(lo, hi - lo), order)
     yield rows()
     _text.release()
 
@@ -221,14 +242,14 @@ def _block_scores(docs: pa.Table, replies: pa.Table, order: int, shards: int) ->
     """The scores of one block's documents from the replies to its requests."""
     parts: list[np.ndarray] = []
     for batch in docs.to_batches():
-        _distinct(parts, batch.column(4), order)
+        _distinct(parts, batch, order)
     code, at = _sharded(parts, shards)
     logs = np.zeros(len(code))
     for shard, raw in zip(replies.column("shard").to_pylist(), replies.column("logs").to_pylist()):
         logs[at[shard] : at[shard + 1]] = np.frombuffer(raw, np.float64)
     by = np.argsort(code)
     keys, logs = code[by].astype(np.int64), logs[by]
-    return pa.Table.from_batches([_scored(batch, 1, order, keys, logs) for batch in docs.to_batches()])
+    return pa.Table.from_batches([_scored(batch, order, keys, logs) for batch in docs.to_batches()])
 
 
 def _scores(rows: DataFrame, logs: DataFrame, types: int, order: int, block_bytes: int, shard_types: int) -> DataFrame:
@@ -236,7 +257,7 @@ def _scores(rows: DataFrame, logs: DataFrame, types: int, order: int, block_byte
     blocks, shards = max(1, -(-size // block_bytes)), -(-types // shard_types) | 1  # odd, so that all bytes of an n-gram tell its shard
     salts = max(1, -(-size // (shards * SERVED_BYTES)))
     # copies of one text part by their ids; both uses of rows read one shuffle
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("blk"), "doc_id", "lang", "held_out", "text").repartition("blk")
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("blk"), "doc_id", "lang", "held_out", "text").mapInArrow(_squeezed, _PACKED).repartition("blk")
     asked = rows.sortWithinPartitions("blk").mapInArrow(partial(_requests, order=order, shards=shards), "shard long, blk long, codes binary")
     asked = asked.select("shard", F.pmod("blk", F.lit(salts)).alias("salt"), F.lit(1).alias("role"), F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("logp"), "blk", "codes")
     table = logs.select((F.col("code") % shards).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("role"), "code", "logp", F.lit(None).cast("long").alias("blk"), F.lit(None).cast("binary").alias("codes"))
