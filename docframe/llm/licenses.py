@@ -137,8 +137,13 @@ def _literal(values: list[str]) -> str:
     return "array(" + ",".join(f"'{v}'" for v in values) + ")"
 
 
+def shown(value: float) -> str:
+    """A weight as the applied expression has it."""
+    return f"{value:.4g}"
+
+
 def _doubles(values: list[float]) -> str:
-    return f"cast(split('{','.join(f'{v:.4g}' for v in values)}', ',') as array<double>)"
+    return f"cast(split('{','.join(map(shown, values))}', ',') as array<double>)"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -154,7 +159,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     names, weights, bias, _ = train()
     grams = sorted(weights)
     n, known = len(names), len(NOTICES)
-    trigger = r"(?i)\b(?:licence|licenced|licences|" + "|".join(TRIGGERS) + r")\b"
+    trigger = "(?i)(?<![a-z0-9])(?:licence|licenced|licences|" + "|".join(TRIGGERS) + ")(?![a-z0-9])"
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = F.transform(F.split("text", r"\r?\n[ \t\x0b\x0c\r]*\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
     parts = F.filter(parts, lambda x: x["text"].rlike(trigger))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import string
 
+from . import licenses
+from .notices import NOTICES
+
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
@@ -72,3 +75,40 @@ per AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k =
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id"""
+
+
+def licences() -> str:
+    """Windows of words joined with the weights' and the templates' tables; the weights are trained when this is called."""
+    names, weights, bias, _ = licenses.train()
+    rows = ", ".join(f"('{g}', {k}, {licenses.shown(float(v))})" for g, own in sorted(weights.items()) for k, v in enumerate(own))
+    biases = ", ".join(f"({k}, '{name}', {licenses.shown(float(v))})" for k, (name, v) in enumerate(zip(names, bias)))
+    pieces = ", ".join(f"({i}, {k}, {len(t)}, '{b}')" for i, (k, t) in enumerate(licenses.templates()) for b in t)
+    step, width, least, share = licenses.STEP, licenses.WIDTH, licenses.PROBABILITY, licenses.CONTAINED
+    return rf"""
+WITH weights(g, k, w) AS (VALUES {rows}), classes(k, name, b) AS (VALUES {biases}), pieces(id, k, n, g) AS (VALUES {pieces}),
+parts AS (SELECT doc_id, paragraph, p[paragraph + 1] AS x FROM (SELECT *, unnest(range(len(p))) AS paragraph FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r?\n[ \t\x0b\x0c\r]*\n') AS p FROM documents))),
+words AS (SELECT doc_id, paragraph, regexp_extract_all(replace(lower(x), 'licenc', 'licens'), '[a-z0-9]+') AS w FROM parts),
+wins AS (SELECT doc_id, paragraph, a, w[a + 1:a + {width}] AS w FROM (SELECT *, unnest(range(0, greatest(len(w) - {step + 1}, 0) + 1, {step})) AS a FROM words)),
+grams AS (
+  SELECT DISTINCT doc_id, paragraph, a, g, n FROM (
+    SELECT doc_id, paragraph, a, unnest(w) AS g, 1 AS n FROM wins
+    UNION ALL SELECT doc_id, paragraph, a, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))), 2 FROM wins
+    UNION ALL SELECT doc_id, paragraph, a, unnest(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))), 3 FROM wins)),
+sums AS (SELECT doc_id, paragraph, a, k, sum(w) AS s FROM grams JOIN weights USING (g) GROUP BY ALL),
+probable AS (SELECT doc_id, paragraph, a, k, name, 1 / (1 + exp(-(b + s))) AS p FROM sums JOIN classes USING (k)),
+held AS (SELECT doc_id, paragraph, a, pieces.k, id, count(*) / any_value(pieces.n) AS c FROM grams JOIN pieces ON grams.g = pieces.g AND grams.n = 2 GROUP BY ALL),
+best AS (SELECT doc_id, paragraph, a, k, max(c) AS c FROM held GROUP BY ALL),
+judged AS (
+  SELECT p.*, coalesce(c, 0) AS c FROM probable p LEFT JOIN best b ON b.doc_id = p.doc_id AND b.paragraph = p.paragraph AND b.a = p.a AND b.k = p.k AND p.p >= {least} AND p.k < {len(NOTICES)}),
+windows AS (SELECT doc_id, paragraph, a, bool_or(k < {len(NOTICES)} AND p >= {least} AND c >= {share}) AS sure, max(p) AS p, max(c) AS c FROM judged GROUP BY ALL),
+found AS (
+  SELECT doc_id, paragraph, name AS family, p, c FROM judged WHERE k < {len(NOTICES)} AND p >= {least} AND c >= {share}
+  UNION ALL SELECT doc_id, paragraph, '{licenses.UNKNOWN}', p, c FROM windows WHERE NOT sure AND p >= {least}),
+surest AS (
+  SELECT doc_id, paragraph, family, CAST(round(round(max(p), 6) * 10000) AS BIGINT) AS p FROM found f
+  WHERE family <> '{licenses.UNKNOWN}' OR NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.paragraph = f.paragraph AND o.family <> '{licenses.UNKNOWN}') GROUP BY ALL),
+per AS (
+  SELECT doc_id, count(*) FILTER (family <> '{licenses.UNKNOWN}') AS n_notices, count(*) FILTER (family = '{licenses.UNKNOWN}') AS n_unknown,
+         array_to_string(list_sort(list_distinct(list(family) FILTER (family <> '{licenses.UNKNOWN}'))), ',') AS families, string_agg(concat(paragraph, ':', family, ':', p), ',' ORDER BY paragraph, family) AS notices
+  FROM surest GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_notices, 0) AS n_notices, coalesce(n_unknown, 0) AS n_unknown, coalesce(families, '') AS families, coalesce(notices, '') AS notices FROM documents d LEFT JOIN per USING (doc_id)"""
