@@ -46,7 +46,7 @@ def codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     return out, row
 
 
-def _types(batches: Iterator[pa.RecordBatch], order: int, chunk: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _types(batches: Iterator[pa.RecordBatch], order: int, chunk: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of a partition (in flushes of bounded size) with their counts in counted rows."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -157,7 +157,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _text.release()
 
 
-def _texts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """The texts of _PACKED rows in runs of rows lo..hi: bytes and offsets."""
     codec = pa.Codec("zstd")
     bounds = np.concatenate([[0], np.cumsum(batch.column(4).to_numpy(zero_copy_only=False))])
